@@ -102,7 +102,8 @@ class Reader:
                 value = found[0].strip(".").lower()
                 rest = len(re.sub(r"[\s<>()\[\]{}\"'“”:;,]", "", piece)) - len(found[0])
                 # A name or label is cheap only in its proper form: Name <address>, label: address.
-                formed = piece[: piece.find(found[0])].rstrip()[-1:] in "<:(" and piece.find(found[0]) > 0
+                at = piece.find(found[0])
+                formed = at > 0 and piece[:at].rstrip()[-1:] in "<:(" and not piece[at + len(found[0]) :].strip(" >)]\"'")
                 extra = 0 if rest <= 0 else 4 + 2 * rest if formed else 16 + 8 * rest
                 return value, self.codes.get(value, 8 + 4 * len(value)) + extra
             return "", 16 + 8 * len(piece)
