@@ -154,15 +154,29 @@ def reach(word: str) -> int:
     return 0 if len(word) < 3 or len(word) > 40 or any(c.isdigit() for c in word) else 1 if len(word) < 5 else 2
 
 
-def similarity(a: str, b: str, distance: int) -> float:
-    """Share of letters kept; a swap of neighbours is one edit, a plural hardly any."""
+def edits(a: str, b: str) -> int:
+    """Edit distance in which a swap of neighbours is one edit."""
+    two: list[int] = []
+    one = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
+            if two and i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                d = min(d, two[j - 2] + 1)
+            row.append(d)
+        two, one = one, row
+    return one[-1]
+
+
+def similarity(a: str, b: str) -> float:
+    """Share of letters kept (0 beyond two edits); a plural costs hardly any."""
     if a == b:
         return 1.0
     if a + "s" == b or b + "s" == a:
         return 0.97
-    if len(a) == len(b) and sorted(a) == sorted(b):
-        distance = min(distance, (distance + 1) // 2)
-    return 1 - distance / max(len(a), len(b))
+    d = edits(a, b)
+    return 1 - d / max(len(a), len(b)) if d <= 2 else 0.0
 
 
 def shortened(a: str, b: str) -> bool:
@@ -292,7 +306,7 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
     keys = words.mapInPandas(spread, "kind string, word string, key string")
     # Repair: candidates share a deletion, then levenshtein decides. Sorted lists keep the result deterministic.
     near = keys.join(vocab, ["kind", "key"]).select("kind", "word", "near").distinct()
-    near = near.withColumn("d", F.levenshtein("word", "near")).where("d <= 2 OR d <= 4 AND length(word) = length(near)")
+    near = near.withColumn("d", F.levenshtein("word", "near")).where("d <= 4")  # two swaps are four
     near = near.groupBy("kind", "word").agg(F.array_sort(F.collect_list(F.struct("near", "d"))).alias("near"))
     gathered = tokens.join(near, ["kind", "word"], "left").groupBy("kind", "value").agg(F.collect_list(F.struct("word", "near")).alias("words"))
 
@@ -304,7 +318,7 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
                 close = {}
                 for f in found:
                     if f["near"] is not None:
-                        close[f["word"]] = [(x["near"], similarity(f["word"], x["near"], x["d"])) for x in f["near"]]
+                        close[f["word"]] = [(x["near"], similarity(f["word"], x["near"])) for x in f["near"]]
                 ref, score = ranker.rank(kind, value, fold(value), close)
                 rows.append((kind, value, ref, float(score)))
             yield pd.DataFrame(rows, columns=["kind", "value", "ref_id", "score"])
