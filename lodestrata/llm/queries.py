@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, canonical_list
+from lodestrata.llm import byte_bpe, canonical_list, leakage, nonprose
 from lodestrata.session import table
 
 
@@ -18,5 +18,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nonprose.label_pages(table(spark, sf_dir, "documents")).where("flagged").select("doc_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
