@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, canonical_list, leakage, nonprose
+from lodestrata.llm import byte_bpe, canonical_list, leakage, nonprose, template_residue
 from lodestrata.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.find_residue(table(spark, sf_dir, "people"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     aiark, apollo = table(spark, sf_dir, "enrichment_aiark"), table(spark, sf_dir, "apollo_companies")
     sources = [("enrichment_aiark", aiark, "industry", "industry"), ("enrichment_aiark", aiark, "country", "country"), ("apollo_companies", apollo, "industry", "industry")]
@@ -26,5 +30,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nonprose.label_pages(table(spark, sf_dir, "documents")).where("flagged").select("doc_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
