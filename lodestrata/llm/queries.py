@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, canonical_list, leakage, nonprose, template_residue
+from lodestrata.llm import byte_bpe, canonical_list, history_dedupe, leakage, nonprose, template_residue
 from lodestrata.session import table
 
 
@@ -18,6 +18,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_list.map_columns(sources, table(spark, sf_dir, "ref_items")).drop("score")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history_dedupe.replay(table(spark, sf_dir, "step1_inserts"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nonprose.label_pages(table(spark, sf_dir, "documents")).where("flagged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
