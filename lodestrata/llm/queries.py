@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import byte_bpe, canonical_list, history_dedupe, leakage, nonprose, template_residue
+from lodestrata.llm import byte_bpe, canonical_list, entity_match, history_dedupe, leakage, nonprose, template_residue
 from lodestrata.session import table
 
 
@@ -22,6 +22,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_dedupe.replay(table(spark, sf_dir, "step1_inserts"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aiark, people = table(spark, sf_dir, "enrichment_aiark"), table(spark, sf_dir, "salesnav_people")
+    return entity_match.match(aiark, people, table(spark, sf_dir, "ref_items")).drop("confidence")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -34,5 +39,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nonprose.label_pages(table(spark, sf_dir, "documents")).where("flagged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
