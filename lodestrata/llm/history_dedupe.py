@@ -26,6 +26,7 @@ from lodestrata.session import scratch, stored
 SHARED_NAMES = 3
 COMPACT_EVERY = 4
 PROFILE = ["dkey", "lkey", "name", "city", "phone"]
+COLUMNS = ["record_id", *PROFILE]
 ROW = "record_id bigint, dkey string, lkey string, name string, city string, phone string"
 
 
@@ -67,21 +68,27 @@ def exact_entries(rows: DataFrame) -> DataFrame:
 def near_entries(rows: DataFrame) -> DataFrame:
     """Sort entries by name and a shortened domain: domains one edit apart, or alike but for the suffix, meet in a window."""
     short = F.concat(F.array(F.concat(F.lit("*"), K.stem(F.col("dkey")))), K.one_deletions(F.col("dkey")))
-    some = rows.where("dkey IS NOT NULL AND name IS NOT NULL AND (city IS NOT NULL OR phone IS NOT NULL)")
+    some = rows.where("dkey IS NOT NULL AND name IS NOT NULL")
     return some.withColumn("key", F.explode(short)).withColumn("key", F.concat(F.lit("n:"), F.col("name"), F.lit("|"), F.col("key")))
 
 
-def near(a: str, b: str) -> Column:
-    """Whether the domain is almost the other's while the name (by the key) and the city or the phone agree."""
-    x, y = F.col(f"{a}.dkey"), F.col(f"{b}.dkey")
-    place = (F.col(f"{a}.city") == F.col(f"{b}.city")) | (F.col(f"{a}.phone") == F.col(f"{b}.phone"))
-    return F.coalesce((x != y) & place & ((K.stem(x) == K.stem(y)) | K.one_apart(x, y)), F.lit(False))
+def almost(x: Column, y: Column) -> Column:
+    """Whether a domain is almost another: one edit or swap apart, or alike but for the public suffix."""
+    return F.coalesce((x != y) & ((K.stem(x) == K.stem(y)) | K.one_apart(x, y)), F.lit(False))
 
 
-def lookalikes(rows: DataFrame) -> DataFrame:
-    """Rows whose name stands by more than one domain: only these can have an almost equal domain within rows."""
-    many = rows.where("dkey IS NOT NULL AND name IS NOT NULL").groupBy("name").agg((F.min("dkey") != F.max("dkey")).alias("several")).where("several").select("name")
-    return rows.join(many, "name", "left_semi")
+def same_place(a: str, b: str) -> Column:
+    """Whether the city or the phone agree."""
+    return F.coalesce(F.col(f"{a}.city") == F.col(f"{b}.city"), F.lit(False)) | F.coalesce(F.col(f"{a}.phone") == F.col(f"{b}.phone"), F.lit(False))
+
+
+def near_domains(rows: DataFrame) -> DataFrame:
+    """name, dkey, other: the almost equal domains among rows of one name. Each domain of a name is compared once, however many rows hold it."""
+    d = rows.where("dkey IS NOT NULL AND name IS NOT NULL").select("name", "dkey").distinct()
+    many = d.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    e = near_entries(d.join(many, "name", "left_semi")).select("key", "name", "dkey")
+    j = e.join(e.select("key", F.col("dkey").alias("other")), "key")
+    return j.where(almost(F.col("dkey"), F.col("other"))).select("name", "dkey", "other").distinct()
 
 
 class History:
@@ -99,7 +106,7 @@ class History:
     def append(self, accepted: DataFrame) -> None:
         """Adds a sorted run; compacts when there are several."""
         run = f"{self.folder}/run-{uuid.uuid4().hex}"
-        both = exact_entries(accepted).unionByName(near_entries(accepted)).select(*[c.split()[0] for c in ROW.split(", ")], "key")
+        both = exact_entries(accepted).unionByName(near_entries(accepted)).select(*COLUMNS, "key")
         both.repartitionByRange("key").sortWithinPartitions("key").write.parquet(run)
         self.runs.append(run)
         if len(self.runs) > COMPACT_EVERY:
@@ -112,40 +119,44 @@ class History:
         self.runs = [run]
 
 
-def window_pairs(new: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b): b of the new entries matches an earlier accepted a of the same key window."""
-    j = new.alias("b").join(held.alias("a"), F.col("b.key") == F.col("a.key"))
-    same = ~F.col("b.key").startswith("n:")
-    return j.where((F.col("a.record_id") < F.col("b.record_id")) & (same | near("a", "b"))).select(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b")).distinct()
+def history_pairs(new: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b): b of the new rows matches an accepted a of the history that stands in the same key window."""
+    j = exact_entries(new).unionByName(near_entries(new)).alias("b").join(held.alias("a"), F.col("b.key") == F.col("a.key"))
+    near = same_place("a", "b") & almost(F.col("a.dkey"), F.col("b.dkey"))
+    return j.where(~F.col("b.key").startswith("n:") | near).select(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b")).distinct()
+
+
+def accepted_pairs(rows: DataFrame, accepted: DataFrame, close: DataFrame) -> DataFrame:
+    """(a, b): b of rows matches an earlier accepted a of the same batch. close: near_domains of the batch."""
+    e = exact_entries(accepted).select("key", F.col("record_id").alias("a"))
+    exact = exact_entries(rows).select("key", F.col("record_id").alias("b")).join(e, "key").select("a", "b")
+    by = rows.join(close, ["name", "dkey"]).alias("b").join(accepted.alias("a"), (F.col("b.name") == F.col("a.name")) & (F.col("b.other") == F.col("a.dkey")))
+    near = by.where(same_place("a", "b")).select(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b"))
+    return exact.unionByName(near).where("a < b").distinct()
 
 
-def settle(rows: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def settle(rows: DataFrame, close: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """The accepted among rows, none of which matches history, by order of arrival.
 
-    rows: one row a profile (copies collapsed). Each round costs a few joins over what is still undecided.
+    rows: one row a profile (copies collapsed). Rows alone in all their windows are accepted at once; each round
+    then costs a few joins over what is still undecided.
     """
-    todo, accepted = stored(rows.select(*[c.split()[0] for c in ROW.split(", ")]), "todo"), []
+    place = F.explode(F.array_compact(F.array(F.concat(F.lit("c:"), F.col("city")), F.concat(F.lit("p:"), F.col("phone")))))
+    todo, accepted = rows, []
     for _ in range(max_rounds):
-        exact = exact_entries(todo)
+        exact = exact_entries(todo).select("key", "record_id")
         first = exact.groupBy("key").agg(F.min("record_id").alias("first"))
-        behind = exact.join(first, "key").where("first < record_id").select("record_id").distinct()
-        lead = todo.join(behind, "record_id", "left_anti")
-        # Earlier undecided rows of an almost equal domain, one a domain and place.
-        like = lookalikes(todo)
-        place = F.explode(F.array_compact(F.array(F.concat(F.lit("c:"), F.col("city")), F.concat(F.lit("p:"), F.col("phone")))))
-        profile = like.select("record_id", "name", "dkey", place.alias("place")).groupBy("name", "dkey", "place").agg(F.min("record_id").alias("record_id"))
-        profile = profile.withColumn("city", F.col("place")).withColumn("phone", F.lit(None).cast("string"))
-        mine = lead.join(like.select("record_id"), "record_id", "left_semi").select("record_id", "name", "dkey", place.alias("city"), F.lit(None).cast("string").alias("phone"))
-        blocked = window_pairs(near_entries(mine), near_entries(profile)).select(F.col("b").alias("record_id")).distinct()
-        now = stored(lead.join(blocked, "record_id", "left_anti"), "accepted")
+        behind = exact.join(first, "key").where("first < record_id").select("record_id")
+        # Earlier undecided rows of an almost equal domain: the first one a domain and place.
+        first_near = todo.select("record_id", "name", F.col("dkey").alias("other"), place.alias("place")).groupBy("name", "other", "place").agg(F.min("record_id").alias("first"))
+        asked = todo.join(close, ["name", "dkey"]).select("record_id", "name", "other", place.alias("place"))
+        blocked = asked.join(first_near, ["name", "other", "place"]).where("first < record_id").select("record_id")
+        now = stored(todo.join(behind.unionByName(blocked).distinct(), "record_id", "left_anti"), "accepted")
         accepted.append(now)
         rest = todo.join(now.select("record_id"), "record_id", "left_anti")
-        hits = window_pairs(exact_entries(rest), exact_entries(now)).select(F.col("b").alias("record_id"))
-        # The name windows only matter where a name stands by several domains.
-        names = lookalikes(todo).select("name").distinct()
-        close = window_pairs(near_entries(rest.join(names, "name", "left_semi")), near_entries(now.join(names, "name", "left_semi"))).select(F.col("b").alias("record_id"))
-        todo = stored(rest.join(hits.unionByName(close).distinct(), "record_id", "left_anti"), "todo")
-        if todo.isEmpty():
+        gone = accepted_pairs(rest, now, close).select(F.col("b").alias("record_id")).distinct()
+        todo = stored(rest.join(gone, "record_id", "left_anti"), "todo")
+        if not todo.take(1):
             break
     out = accepted[0]
     for more in accepted[1:]:
@@ -158,23 +169,20 @@ def add_batch(history: History, rows: DataFrame) -> DataFrame:
 
     rows: normalised rows with shared keys nulled, all arriving after the history.
     """
-    rows = stored(rows.select(*[c.split()[0] for c in ROW.split(", ")]), "batch")
-    keyed = rows.where("dkey IS NOT NULL OR lkey IS NOT NULL")
+    keyed = rows.where("dkey IS NOT NULL OR lkey IS NOT NULL").select(*COLUMNS)
+    close = stored(near_domains(keyed), "close")
     reps = keyed.groupBy(*PROFILE).agg(F.min("record_id").alias("record_id"))
     held = history.entries()
+    old = None
     if held is not None:
-        old = stored(window_pairs(exact_entries(keyed).unionByName(near_entries(keyed)), held), "old-pairs")
+        old = stored(history_pairs(keyed, held), "old-pairs")
         reps = reps.join(old.select(F.col("b").alias("record_id")).distinct(), "record_id", "left_anti")
-    accepted = stored(settle(reps), "batch-accepted")
-    rest = keyed.join(accepted.select("record_id"), "record_id", "left_anti")
-    exact = window_pairs(exact_entries(rest), exact_entries(accepted))
-    names = lookalikes(keyed).select("name").distinct()
-    close = window_pairs(near_entries(rest.join(names, "name", "left_semi")), near_entries(accepted.join(names, "name", "left_semi")))
-    pairs = exact.unionByName(close)
-    history.append(accepted)
-    if held is not None:
+    accepted = settle(stored(reps.select(*COLUMNS), "reps"), close)
+    pairs = accepted_pairs(keyed.join(accepted.select("record_id"), "record_id", "left_anti"), accepted, close)
+    if old is not None:
         pairs = pairs.unionByName(old)
-    return stored(pairs.distinct().select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b")), "pairs")
+    history.append(accepted)
+    return pairs.distinct().select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
 
 
 def batch_number(rows: DataFrame, batches: int) -> DataFrame:
@@ -186,7 +194,7 @@ def batch_number(rows: DataFrame, batches: int) -> DataFrame:
     return imports.select("import_id", share.cast("int").alias("batch"))
 
 
-def replay(rows: DataFrame, batches: int = 4) -> DataFrame:
+def replay(rows: DataFrame, batches: int = 3) -> DataFrame:
     """Replays a table of imports batch by batch: record_id_a (accepted), record_id_b (its repeat).
 
     rows(record_id, import_id, company_name, domain, linkedin_url, city, phone). Rows without a usable domain or
@@ -197,9 +205,9 @@ def replay(rows: DataFrame, batches: int = 4) -> DataFrame:
     rows = rows.withColumn("import_id", F.coalesce("import_id", F.lit("")))
     base = normalised(rows.join(batch_number(rows, batches), "import_id"))
     once = stored(base.groupBy("record_id").agg(F.min(F.struct("batch", *PROFILE, "path")).alias("r")).select("record_id", "r.*"), "normalised")
-    clean = stored(without_shared(once, stored(shared_keys(once), "shared")), "clean")
+    clean = stored(without_shared(once, shared_keys(once)), "clean")
     history, found = History(spark), None
     for b in range(batches):
-        pairs = add_batch(history, clean.where(F.col("batch") == b))
+        pairs = stored(add_batch(history, clean.where(F.col("batch") == b)), "pairs")
         found = pairs if found is None else found.unionByName(pairs)
     return found
