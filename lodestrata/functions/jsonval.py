@@ -17,14 +17,12 @@ def parsed(c: Column) -> Column:
     return F.try_parse_json(c)
 
 
-def path(key: str) -> str:
-    """The path of a top-level key, whatever characters it holds."""
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
-
-
 def value(data: Column, key: str) -> Column:
-    """The key's value as VARIANT, null if missing."""
-    return F.try_variant_get(data, path(key), "variant")
+    """The top-level key's value as VARIANT, null if missing. A path takes either quote in a key, but not both."""
+    if "'" in key and '"' in key:
+        return F.try_element_at(F.try_variant_get(data, "$", "map<string,variant>"), F.lit(key))
+    quote = '"' if "'" in key else "'"
+    return F.try_variant_get(data, f"$[{quote}{key}{quote}]", "variant")
 
 
 def tag(v: Column) -> Column:

@@ -260,6 +260,8 @@ class Grammar:
             n = read_number(digits, scaled, comma)
             if n is None:
                 return None
+            if self.money and u.dims[2] and not u.dims[1]:
+                return None  # a period alone makes no amount (Q3)
             for k, d in enumerate(self.defaults.dims):
                 if d and not u.dims[k]:
                     unit_dims = tuple(d if j == k else 0 for j in range(3))

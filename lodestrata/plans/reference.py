@@ -410,7 +410,7 @@ def normalize_country(c, p, spark, d):
     return c.select("id", C.country_id(F.col("country")).alias("country"))
 
 
-@query("country_labels", "SELECT r.code AS country_id, r.label AS label FROM ref_items r WHERE r.code IN (SELECT country_id FROM companies)")
+@query("country_labels")
 def country_labels(c, p, spark, d):
     known = table(spark, d, "ref_items").where("code IS NOT NULL").select(F.col("code").alias("country_id"))
     used = c.where("country_id IS NOT NULL").select("country_id").distinct().join(known, "country_id", "left_semi")
