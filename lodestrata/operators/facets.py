@@ -52,10 +52,15 @@ def ranked(facets: DataFrame) -> DataFrame:
 
 
 def top_and_other(facets: DataFrame, top: int = 5) -> DataFrame:
-    """The first values of each facet and the sum of the others as 'other' (if any), with their share of the facet."""
-    r = ranked(facets).withColumn("id", F.when(F.col("rank") <= top, F.col("id")).otherwise("other"))
-    s = r.groupBy("dim", "id").agg(F.sum("n").alias("n"))
-    return s.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("dim")), 6))
+    """The first values of each facet and the sum of the others as 'other' (if any), with their share of the facet.
+
+    Only the first ranks are asked of the window, so it keeps no more than these of any facet.
+    """
+    first = ranked(facets).where(F.col("rank") <= top).select("dim", "id", "n")
+    total = facets.groupBy("dim").agg(F.sum("n").alias("total"))
+    rest = total.join(first.groupBy("dim").agg(F.sum("n").alias("head")), "dim").select("dim", F.lit("other").alias("id"), (F.col("total") - F.col("head")).alias("n")).where("n > 0")
+    both = first.unionByName(rest).groupBy("dim", "id").agg(F.sum("n").alias("n"))  # a value may itself be called other
+    return both.join(total, "dim").select("dim", "id", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
 def percent_of_max(facets: DataFrame, top: int = 6, least: float = 4.0) -> DataFrame:
