@@ -129,11 +129,11 @@ def profile(cells: DataFrame) -> DataFrame:
     def var(p: str) -> Column:
         return F.expr(f"try_divide(cast({p}s2 as double), cast({p}s0 as double))") - mean(p) * mean(p)
 
-    pooled = F.sqrt(F.greatest((var("") + var("r_")) / 2, F.lit(0.0)))
-    diff = F.when(pooled > 0, (mean("") - mean("r_")) / pooled)
+    pooled = (var("") + var("r_")) / 2
+    diff = F.when(pooled > 1e-9, (mean("") - mean("r_")) / F.sqrt(pooled))
     return sums.select(
         "load_id", "column_name", "n_rows", "n_missing", "n_bad", "n_distinct", "min_value", "max_value",
-        F.round(mean(""), 6).alias("mean"), F.round(F.sqrt(F.greatest(var(""), F.lit(0.0))), 6).alias("stddev"), F.round(diff, 6).alias("std_difference"),
+        F.round(mean(""), 3).alias("mean"), F.round(F.sqrt(F.greatest(var(""), F.lit(0.0))), 3).alias("stddev"), F.round(diff, 3).alias("std_difference"),
     )
 
 

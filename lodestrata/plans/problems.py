@@ -21,6 +21,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.quality_issues(table(spark, sf_dir, "enrichment_aiark"), "load_id", "row_id", rules)
 
 
+PATTERNED = ["phone", "founded_year", "website"]
 # Columns of enrichment_aiark without a pattern of their own.
 TEXTS = ["company_name", "domain", "linkedin_url", "industry", "employee_count", "city", "state", "country", "description", "revenue"]
 
@@ -32,11 +33,11 @@ def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_profile": p7_profile}
 
-_CELLS = """cells AS (
-  SELECT load_id, row_id, 'phone' AS column_name, phone AS v FROM enrichment_aiark
-  UNION ALL SELECT load_id, row_id, 'founded_year', founded_year FROM enrichment_aiark
-  UNION ALL SELECT load_id, row_id, 'website', website FROM enrichment_aiark
-), marked AS (
+def _cells(columns: list[str]) -> str:
+    return "cells AS (" + " UNION ALL ".join(f"SELECT load_id, row_id, '{c}' AS column_name, {c} AS v FROM enrichment_aiark" for c in columns) + ")"
+
+
+_JUDGED = """marked AS (
   SELECT *, v IS NULL OR regexp_replace(v, '[\\s\\x{00A0}]', '', 'g') IN ('', '-') AS gone,
     regexp_replace(regexp_replace(v, '[ .\\-/()]*(x|X|ext|Ext|EXT)\\.?[ .]*[0-9]+$', ''), '[^0-9]', '', 'g') AS digits
   FROM cells
@@ -44,12 +45,20 @@ _CELLS = """cells AS (
   SELECT *, CASE column_name
     WHEN 'phone' THEN regexp_full_match(v, '\\+?[ .\\-/()]*[0-9]([ .\\-/()]*[0-9]){6,14}[ .\\-/()]*((x|X|ext|Ext|EXT)\\.?[ .]*[0-9]+)?') AND replace(digits, substr(digits, 1, 1), '') <> ''
     WHEN 'founded_year' THEN regexp_full_match(v, '1[89][0-9]{2}|20[01][0-9]|202[0-5]')
-    ELSE regexp_full_match(v, '(?i:https?://)?[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+(:[0-9]+)?([/?].*)?') END AS good
+    WHEN 'website' THEN regexp_full_match(v, '(?i:https?://)?[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+(:[0-9]+)?([/?].*)?') ELSE TRUE END AS good
   FROM marked
 )"""
 
 ORACLES = {
-    "p7_found": f"""WITH {_CELLS}, classed AS (
+    "p7_profile": f"""WITH {_cells([*PATTERNED, *TEXTS])}, {_JUDGED}, num AS (
+  SELECT *, CASE WHEN NOT gone AND good THEN CASE column_name WHEN 'phone' THEN length(digits) WHEN 'founded_year' THEN CAST(v AS BIGINT) ELSE length(v) END END AS x, CASE WHEN NOT gone THEN v END AS f FROM judged
+), s AS (SELECT load_id, column_name, count(*) AS n_rows, count(*) FILTER (gone) AS n_missing, count(*) FILTER (NOT gone AND NOT good) AS n_bad, count(DISTINCT f) AS n_distinct,
+    min(f) AS min_value, max(f) AS max_value, count(x) AS s0, coalesce(sum(x), 0)::DOUBLE AS s1, coalesce(sum(x * x), 0)::DOUBLE AS s2 FROM num GROUP BY ALL
+), r AS (SELECT *, sum(s0) OVER w - s0 AS r0, sum(s1) OVER w - s1 AS r1, sum(s2) OVER w - s2 AS r2 FROM s WINDOW w AS (PARTITION BY column_name)
+), m AS (SELECT *, s1 / nullif(s0, 0) AS mu, s2 / nullif(s0, 0) - (s1 / nullif(s0, 0)) ** 2 AS var, r1 / nullif(r0, 0) AS rmu, r2 / nullif(r0, 0) - (r1 / nullif(r0, 0)) ** 2 AS rvar FROM r)
+SELECT load_id, column_name, n_rows, n_missing, n_bad, n_distinct, min_value, max_value, round(mu, 3) AS mean, round(sqrt(greatest(var, 0)), 3) AS stddev,
+  CASE WHEN (var + rvar) / 2 > 1e-9 THEN round((mu - rmu) / sqrt((var + rvar) / 2), 3) END AS std_difference FROM m""",
+    "p7_found": f"""WITH {_cells(PATTERNED)}, {_JUDGED}, classed AS (
   SELECT load_id, column_name, CASE WHEN gone THEN 'missing' WHEN NOT good THEN 'bad'
     WHEN column_name = 'phone' THEN CASE WHEN v LIKE '+%' THEN '+' || regexp_extract(v, '^\\+[ .\\-/()]*([0-9])', 1) ELSE 'no plus' END
     WHEN column_name = 'founded_year' THEN substr(v, 1, 3)

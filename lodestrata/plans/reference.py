@@ -102,7 +102,7 @@ def percent_of_max(c, p, spark, d):
     return facets.percent_of_max(facets.company_facets(c))
 
 
-@query("facet_json")
+@query("facet_json", f"SELECT dim, CAST(to_json(list({{'id': id, 'count': n}} ORDER BY n DESC, id)) AS VARCHAR) AS values FROM ({facet_sql('companies')}) GROUP BY dim")
 def facet_json(c, p, spark, d):
     return facets.as_json(facets.company_facets(c))
 
