@@ -18,7 +18,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestrata.operators import keys as K
 from lodestrata.session import scratch, stored
@@ -186,12 +185,17 @@ def add_batch(history: History, rows: DataFrame) -> DataFrame:
 
 
 def batch_number(rows: DataFrame, batches: int) -> DataFrame:
-    """record_id, batch: imports in order of their first row; the first import alone, the others in equal shares."""
+    """import_id, batch: the first import alone, the others in shares of about equal numbers by their first row.
+
+    The bounds are approximate quantiles, one value a batch; where they lie never changes which rows repeat which.
+    """
     imports = rows.groupBy("import_id").agg(F.min("record_id").alias("start"))
-    order = F.row_number().over(Window.orderBy("start", "import_id"))  # one row an import
-    imports = imports.withColumn("n", order).withColumn("of", F.count("*").over(Window.partitionBy()))
-    share = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.lit(1) + F.floor((F.col("n") - 2) * (batches - 1) / F.greatest(F.col("of") - 1, F.lit(1))))
-    return imports.select("import_id", share.cast("int").alias("batch"))
+    at = [k / (batches - 1) for k in range(1, batches - 1)]
+    first, bounds = imports.agg(F.min_by("import_id", F.struct("start", "import_id")), F.percentile_approx("start", at) if at else F.array()).first()
+    later = F.lit(1)
+    for x in bounds or []:
+        later = later + (F.col("start") > x).cast("int")
+    return imports.select("import_id", F.when(F.col("import_id") == F.lit(first), 0).otherwise(later).alias("batch"))
 
 
 def replay(rows: DataFrame, batches: int = 3) -> DataFrame:
