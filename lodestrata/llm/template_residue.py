@@ -72,6 +72,9 @@ WHOLE = [
     r"(?:bitte )?aktivieren sie (?:bitte )?java ?script\b.*", r"java ?script (?:ist|muss|wird) .*(?:aktivier|deaktivier|ben[oö]tigt).*", r"(?:veuillez |merci d')?activer java ?script\b.*", r"java ?script (?:est|doit) .*(?:d[eé]sactiv|activ).*", r"(?:por favor,? )?(?:active|habilite|activa) java ?script\b.*", r"java ?script (?:est[aá]|debe) .*(?:desactiv|activ|habilit).*",
 ]
 PAGE = re.compile("(?:" + "|".join(WHOLE) + ")", re.S)
+# No slot is without one of these characters; single words that are filler by themselves.
+MARKED = re.compile(r"[{}<>\[\]@$|%]|__")
+FILLERS = frozenset("lorem todo tbc tbd tba fixme qwerty foobar testtest undefined placeholder forbidden asdf asdff asdfasdf".split())
 GREETED = re.compile(r"(?:^|\b(?:hi|dear|hello|hey|to|what|noticed|said|of|from|by|at|for|with|met|that|before|rivals of)\s+)$", re.I)
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 TAGS = re.compile(rf"</?(?:{HTML})\b[^<>]{{0,200}}>", re.I)
@@ -100,8 +103,15 @@ def skeleton(sentence: str) -> str:
     return re.sub(r"\s+", " ", s).strip(" .!?").lower()
 
 
-def template(sentence: str) -> int:
-    return xxhash.xxh3_64_intdigest(skeleton(sentence)) - (1 << 63)
+def template(sentence: str, slotted: bool = True) -> int:
+    """The hash of a sentence's skeleton. slotted: it may hold placeholders or defaults; else only names and numbers vary."""
+    if slotted:
+        fixed = skeleton(sentence)
+    else:
+        fixed = re.sub(r"¤(?:[\s,]*¤)*", "¤", CAPITAL.sub("¤", sentence)).strip(" .!?").lower()
+        if "  " in fixed or "\t" in fixed or "\n" in fixed:
+            fixed = re.sub(r"\s+", " ", fixed)
+    return xxhash.xxh3_64_intdigest(fixed) - (1 << 63)
 
 
 def known(slot: str) -> bool:
@@ -138,10 +148,13 @@ def examine(text: str) -> tuple[bool, list[tuple[int, int, str, bool]]]:
         return True, []
     if "<noscript" in inner.lower() and re.search(SCRIPT, TAGS.sub(" ", inner), re.I):
         return True, []
+    marked = bool(MARKED.search(inner))
+    if " " not in inner and inner.isalpha() and inner.lower() not in FILLERS:
+        return False, []
     whole = plain(inner)
     if PAGE.fullmatch(whole) or whole in ("undefined", "$undefined"):
         return True, []
-    if " " not in inner and not SLOT.search(inner):
+    if " " not in inner and not marked:
         return False, []
     slots = []
     for s in SENTENCE.split(body):
@@ -150,7 +163,7 @@ def examine(text: str) -> tuple[bool, list[tuple[int, int, str, bool]]]:
         whole = plain(s)
         if PAGE.fullmatch(whole) or latin(whole):
             return True, []
-        found = [m.group() for m in SLOT.finditer(s)]
+        found = [m.group() for m in SLOT.finditer(s)] if marked else []
         if found and sum(len(w) for w in re.findall(r"[^\W\d_]+", TAGS.sub(" ", SLOT.sub(" ", s)))) <= 8 and s.strip() == body:
             return True, []  # nothing but placeholders
         for i, f in enumerate(found):
@@ -189,16 +202,15 @@ def find_residue(records: DataFrame, key: str = "id", data: str = "custom_data")
                         hit, more = examine(leaf)
                         sure = sure or hit
                         slots += more
-                        if not hit and not more and " " in leaf and len(leaf) < 2000:
-                            for s in SENTENCE.split(leaf):
-                                normal[s] += 1
+                        if not hit and not more and " " in leaf:
+                            normal.update(SENTENCE.split(leaf))
                     if sure:
                         rows.append((rid, field, None, None, None, True, 1))
                     else:
                         rows += [(rid, field, t, i, f, k, 1) for t, i, f, k in dict.fromkeys(slots)]
             keys: Counter = Counter()
             for s, n in normal.items():
-                keys[template(s)] += n
+                keys[template(s, False)] += n
             rows += [(None, None, t, None, None, None, n) for t, n in keys.items()]
             yield pd.DataFrame(rows, columns=["person_id", "field_key", "template", "place", "filler", "known", "n"]).astype({"template": "Int64", "place": "Int64"})
 
