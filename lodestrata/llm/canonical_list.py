@@ -281,8 +281,7 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
     names = reference_names(spark, reference)
     ranker_names = spark.sparkContext.broadcast(names)
     vocabulary = sorted({(n.kind, w) for n in names for w in (*n.words, "".join(n.words))})
-    vocab_keys = [(k, w, d) for k, w in vocabulary for d in deletions(w, reach(w))]
-    vocab = spark.createDataFrame(pd.DataFrame(vocab_keys or [("", "", "")], columns=["kind", "near", "key"]), "kind string, near string, key string")
+    words_held = spark.createDataFrame(pd.DataFrame(vocabulary or [("", "")], columns=["kind", "word"]), "kind string, word string")
 
     distinct = values.where("kind IS NOT NULL AND value IS NOT NULL AND trim(value) <> ''").groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one")
 
@@ -303,7 +302,9 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
 
     tokens = distinct.mapInPandas(split, "kind string, value string, word string")
     words = tokens.where("word <> ''").groupBy("kind", "word").agg(F.lit(1).alias("one")).drop("one")
+    # Both sides spell out their deletions on the workers.
     keys = words.mapInPandas(spread, "kind string, word string, key string")
+    vocab = words_held.repartition("word").mapInPandas(spread, "kind string, word string, key string").withColumnRenamed("word", "near")
     # Repair: candidates share a deletion, then levenshtein decides. Sorted lists keep the result deterministic.
     near = keys.join(vocab, ["kind", "key"]).select("kind", "word", "near").distinct()
     near = near.withColumn("d", F.levenshtein("word", "near")).where("d <= 4")  # two swaps are four
