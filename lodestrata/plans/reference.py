@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import canonical as C
 from lodestrata.functions import jsonval as J
 from lodestrata.operators import dashboard, dedupe, discovery, facets, ingest, lists, push_status
 from lodestrata.operators import filters as X
-from lodestrata.operators.json_predicates import filter_set, matches
+from lodestrata.operators.json_predicates import filter_set
 from lodestrata.session import table
 from lodestrata.sources.csv_files import flat
 
@@ -500,10 +499,6 @@ def upsert_latest(c, p, spark, d):
     return ingest.upsert(s.where(half), s.where(~half), ["import_id"], "record_id")
 
 
-OLD_MAP = "custom_data"
-NEW_MAP = "json_object('tier', 'gold', 'origin', source)"
-
-
 @query("merge_custom_data", f"SELECT id, CASE WHEN {js('tier')} IS NULL OR {js('tier')} = 'gold' THEN 'gold' ELSE {js('tier')} || ', gold' END AS tier, source AS origin, {js('lead_score')} AS lead_score FROM people")
 def merge_custom_data(c, p, spark, d):
     new = F.to_json(F.struct(F.lit("gold").alias("tier"), F.col("source").alias("origin")))

@@ -9,9 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def expose(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    It suffices where executors see the driver's folders; elsewhere install the package or pass it by --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def session(cpus: str | int = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the engine assumes (UTC, AQE, ANSI left on)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("lodestrata")
         .config("spark.driver.memory", memory)
@@ -23,6 +35,8 @@ def session(cpus: str | int = "*", shuffle: int = 8, memory: str = "8g") -> Spar
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    expose(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +67,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data, or of any folder laid out alike."""
+    expose(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
