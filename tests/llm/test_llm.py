@@ -5,7 +5,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestrata.llm import byte_bpe, canonical_list, entity_match, history_dedupe, leakage, nonprose, template_residue
 
@@ -210,4 +209,3 @@ def test_entity_names_alike_are_not_chosen(spark):
     p = [(101, "Twin Cargo", None, None, None)]
     refs = spark.createDataFrame(REFS, REF)
     assert entity_match.match(spark.createDataFrame(a, AIARK), spark.createDataFrame(p, PEOPLE), refs).count() == 0
-    assert F is not None
