@@ -6,10 +6,10 @@ over all attributes retrieves candidates; BM25 sums the rarity of all attributes
 a query must be its nearest by a gap and the query among the entity's near ones; a logistic function, fitted on
 pairs whose mail domain tells the truth, turns agreement and gap into a confidence.
 
-Pruning is exact: terms enter the index only if they are selective enough to decide a match. A term that more
-than MAX_DF entities hold alone cannot give a nearest entity with a gap, so it is indexed only together with a
-place. Queries and entities are collapsed to distinct profiles before any join, so a company that holds a third
-of all rows is scored once; rows come back by membership at the end.
+Nothing is pruned: a term counts however many entities hold it, as a place may still single one out among them. A
+frequent term costs its askers times its holders; the join on terms can be split where they are skewed. Queries are
+collapsed to distinct profiles and rows to entities before any join, so a company that holds a third of all rows is
+scored once; rows come back by membership at the end.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from lodestrata.llm.canonical_list import map_values
 from lodestrata.operators import keys as K
 from lodestrata.session import stored
 
-MAX_DF = 1_000
 LABELLED = 20_000
 ACCEPT = 0.5
 NEAR = 0.2  # share of an entity's best score from which a query counts as near to it
@@ -196,7 +195,7 @@ def scored_pairs(targets: DataFrame, people: DataFrame, reference: DataFrame) ->
     named = docs.select("entity", F.explode("names").alias("n"), F.when(F.size("cities") > 0, F.col("cities")).alias("cities")).select("entity", "n.*", F.explode_outer("cities").alias("city"))
     owned = docs.select("entity", F.explode("domains").alias("d")).select("entity", F.array(term("d:", F.col("d")), term("n:", core_of(F.col("d")))).alias("t"))
     index = named.select("entity", name_terms().alias("t")).unionByName(owned).select("entity", F.explode("t").alias("term")).distinct()
-    df = index.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= MAX_DF)
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
     hosts = F.array_compact(F.array(term("d:", F.col("mail")), term("n:", F.col("mail_core")), term("d:", F.col("typed_host")), term("n:", F.col("typed_core"))))
     asked = queries.select("query", F.explode(F.concat(hosts, F.coalesce(name_terms(), F.array().cast("array<string>")))).alias("term")).distinct()
     n = docs.count()

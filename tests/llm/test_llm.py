@@ -209,3 +209,10 @@ def test_entity_names_alike_are_not_chosen(spark):
     p = [(101, "Twin Cargo", None, None, None)]
     refs = spark.createDataFrame(REFS, REF)
     assert entity_match.match(spark.createDataFrame(a, AIARK), spark.createDataFrame(p, PEOPLE), refs).count() == 0
+
+
+def test_entity_frequent_names(spark):
+    a = [(i, "Corner Bakery", f"cornerbakery{i}.test", None, None, None, "United States" if i else "Japan", None) for i in range(1_002)]
+    p = [(10_001, "Corner Bakery", None, None, "Japan"), (10_002, "Corner Bakery", None, None, "United States")]
+    got = entity_match.match(spark.createDataFrame(a, AIARK), spark.createDataFrame(p, PEOPLE), spark.createDataFrame(REFS, REF))
+    assert [(r["aiark_row_id"], r["salesnav_row_id"]) for r in got.collect()] == [(0, 10_001)]
