@@ -64,6 +64,19 @@ def spread_minimum(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows
 
 
+def connected(rows: DataFrame) -> DataFrame:
+    """d, l, least: the least label among all rows that keys connect with a pair of domain and page (one may be null).
+
+    The passes go over distinct pairs and end only when no page joins two labels: a chain of any length is one entity.
+    """
+    pairs = rows.where("dkey IS NOT NULL OR lkey IS NOT NULL").groupBy("dkey", "lkey").agg(F.min("entity").alias("entity"))
+    while True:
+        # The last pass leaves one label a domain; where every page has one too, nothing is left to spread.
+        pairs = stored(spread_minimum(pairs, ["dkey", "lkey", "dkey"]), "links")
+        if not pairs.where("lkey IS NOT NULL").groupBy("lkey").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a < b").take(1):
+            return pairs.select(F.col("dkey").alias("d"), F.col("lkey").alias("l"), F.col("entity").alias("least"))
+
+
 def prepared_targets(df: DataFrame) -> DataFrame:
     """row_id, dkey, lkey, words, city, country of the target rows."""
     d = F.coalesce(K.host(F.col("domain")), K.host(F.when(~F.col("website").contains("@"), F.col("website"))))
@@ -73,7 +86,7 @@ def prepared_targets(df: DataFrame) -> DataFrame:
 
 
 def entities(rows: DataFrame) -> DataFrame:
-    """The target rows with an entity label: rows of one domain or page, and of domains that share a page.
+    """The target rows with an entity label: rows that domains and pages connect, over any number of steps.
 
     Keys that stand by many unrelated names identify nobody. Where both keys are missing the name and the city stand
     in, unless several entities answer to them.
@@ -86,7 +99,8 @@ def entities(rows: DataFrame) -> DataFrame:
         some = shared.where(F.col("kind") == kind).select(F.col("key").alias(c), "gone")
         rows = rows.join(some, c, "left").withColumn(c, F.when(F.col("gone").isNull(), F.col(c))).drop("gone")
     place = F.when(F.col("name").isNotNull() & F.col("city").isNotNull(), F.concat_ws("|", "name", "city"))
-    rows = stored(spread_minimum(rows.withColumn("place", place), ["dkey", "lkey", "dkey"]), "targets")
+    rows = rows.withColumn("place", place).join(connected(rows), [F.col("dkey").eqNullSafe(F.col("d")), F.col("lkey").eqNullSafe(F.col("l"))], "left")
+    rows = stored(rows.withColumn("entity", F.coalesce("least", "entity")).drop("d", "l", "least"), "targets")
     alone = F.col("dkey").isNull() & F.col("lkey").isNull()
     by_place = rows.where("place IS NOT NULL").groupBy("place").agg(
         F.min(F.when(~alone, F.col("entity"))).alias("only"), F.max(F.when(~alone, F.col("entity"))).alias("last"), F.min(F.when(alone, F.col("entity"))).alias("first")

@@ -216,3 +216,11 @@ def test_entity_frequent_names(spark):
     p = [(10_001, "Corner Bakery", None, None, "Japan"), (10_002, "Corner Bakery", None, None, "United States")]
     got = entity_match.match(spark.createDataFrame(a, AIARK), spark.createDataFrame(p, PEOPLE), spark.createDataFrame(REFS, REF))
     assert [(r["aiark_row_id"], r["salesnav_row_id"]) for r in got.collect()] == [(0, 10_001)]
+
+
+def test_entity_chains(spark):
+    keys = [(1, "d2", "p2"), (7, "d1", "p2"), (3, "d1", "p1"), (10, None, "p1"), (20, None, None), (21, None, None)]
+    keys += [(99 - i // 2, f"c{i // 2}", f"q{(i + 1) // 2}") for i in range(24)]  # c0-q0, c0-q1, c1-q1, ...: one chain
+    rows = spark.createDataFrame([(*k, ["x"], None) for k in keys], "row_id bigint, dkey string, lkey string, words array<string>, city string")
+    got = {r["row_id"]: r["entity"] for r in entity_match.entities(rows).collect()}
+    assert got == {i: 1 if i < 20 else i if i < 22 else 88 for i, *_ in keys}
