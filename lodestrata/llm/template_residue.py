@@ -19,6 +19,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -72,9 +73,8 @@ WHOLE = [
     r"(?:bitte )?aktivieren sie (?:bitte )?java ?script\b.*", r"java ?script (?:ist|muss|wird) .*(?:aktivier|deaktivier|ben[oö]tigt).*", r"(?:veuillez |merci d')?activer java ?script\b.*", r"java ?script (?:est|doit) .*(?:d[eé]sactiv|activ).*", r"(?:por favor,? )?(?:active|habilite|activa) java ?script\b.*", r"java ?script (?:est[aá]|debe) .*(?:desactiv|activ|habilit).*",
 ]
 PAGE = re.compile("(?:" + "|".join(WHOLE) + ")", re.S)
-# No slot is without one of these characters; single words that are filler by themselves.
+# No slot is without one of these characters.
 MARKED = re.compile(r"[{}<>\[\]@$|%]|__")
-FILLERS = frozenset("lorem todo tbc tbd tba fixme qwerty foobar testtest undefined placeholder forbidden asdf asdff asdfasdf".split())
 GREETED = re.compile(r"(?:^|\b(?:hi|dear|hello|hey|to|what|noticed|said|of|from|by|at|for|with|met|that|before|rivals of)\s+)$", re.I)
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 TAGS = re.compile(rf"</?(?:{HTML})\b[^<>]{{0,200}}>", re.I)
@@ -132,6 +132,12 @@ def plain(sentence: str) -> str:
     return re.sub(r"\s+", " ", s).strip(" \t\"'“”«».!…?").lower()
 
 
+@lru_cache(maxsize=1 << 16)
+def filler_word(word: str) -> bool:
+    """Whether a single word of letters, in lower case, is filler or a page by itself. Remembered, as such values repeat."""
+    return word == "undefined" or PAGE.fullmatch(word) is not None
+
+
 def latin(sentence: str) -> bool:
     """Whether a sentence of four words or more is made of filler words, in whatever order."""
     words = re.findall(r"[a-z]+", sentence)
@@ -149,8 +155,8 @@ def examine(text: str) -> tuple[bool, list[tuple[int, int, str, bool]]]:
     if "<noscript" in inner.lower() and re.search(SCRIPT, TAGS.sub(" ", inner), re.I):
         return True, []
     marked = bool(MARKED.search(inner))
-    if " " not in inner and inner.isalpha() and inner.lower() not in FILLERS:
-        return False, []
+    if " " not in inner and inner.isalpha():
+        return filler_word(inner.lower()), []
     whole = plain(inner)
     if PAGE.fullmatch(whole) or whole in ("undefined", "$undefined"):
         return True, []

@@ -224,3 +224,10 @@ def test_entity_chains(spark):
     rows = spark.createDataFrame([(*k, ["x"], None) for k in keys], "row_id bigint, dkey string, lkey string, words array<string>, city string")
     got = {r["row_id"]: r["entity"] for r in entity_match.entities(rows).collect()}
     assert got == {i: 1 if i < 20 else i if i < 22 else 88 for i, *_ in keys}
+
+
+def test_residue_of_one_word():
+    words = "lorem placeholder todo tbc tbd tba fixme asdf asdfff qwerty foobar testtest asdfasdf forbidden unauthorized unauthorised undefined".split()
+    for w in words:
+        assert template_residue.examine(w.capitalize()) == template_residue.examine(w.upper() + ".") == (True, []), w
+    assert not any(template_residue.examine(w)[0] for w in ("Plumbing", "Error", "None", "Forbiddenly", "Bücher"))
