@@ -30,28 +30,50 @@ SEED, NEED, REPLACED = 6, 18, 2
 BASE = np.uint64(1_000_003)
 
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
-INLINE_TAG = re.compile(r"</?(?:b|i|u|s|em|strong|span|a|font|code|mark|sub|sup|small|wbr|abbr|q|cite)(?:\s[^<>]{0,400})?/?>", re.I)
-TAG = re.compile(r"<!--.{0,2000}?-->|</?[a-zA-Z][^<>]{0,400}>", re.S)
-LINK = re.compile(r"\]\([^()\s]{0,400}\)")
+INLINE = "b|i|u|s|em|strong|span|a|font|code|mark|sub|sup|small|wbr|abbr|q|cite"
+INLINE_TAG = re.compile(rf"</?(?:{INLINE})(?:\s[^<>]*)?/?>", re.I)
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
+# The same up to a length: what is longer may also be words between two signs.
+SHORT_INLINE_TAG = re.compile(rf"</?(?:{INLINE})(?:\s[^<>]{{0,400}})?/?>", re.I)
+SHORT_TAG = re.compile(r"<!--.{0,2000}?-->|</?[a-zA-Z][^<>]{0,400}>", re.S)
+LONG = re.compile(r"<!--|</?[a-zA-Z][^<>]{400,}>")
+LINK = re.compile(r"\]\([^()\s]*\)")
 HYPHEN_END = re.compile(r"[-‐‑¬][^\S\n]*\r?\n[\s>|*#]*")
 HYPHEN = re.compile(r"[-‐‑‒'’]")
 WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text that count in a comparison."""
+def without_comments(text: str) -> str:
+    """A text without HTML comments of any length."""
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        out += [text[at:a], " "]
+        at = b + 3
+    return "".join(out) + text[at:]
+
+
+def readings(text: str | None) -> list[list[str]]:
+    """The words of a text that count in a comparison; a second time with long tags read as words, if there are any."""
     if not text:
-        return []
+        return [[]]
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
         text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    texts = [text]
     if "<" in text:
-        text = TAG.sub(" ", INLINE_TAG.sub("", text))
-    if "](" in text:
-        text = LINK.sub("] ", text)
-    text = HYPHEN.sub("", HYPHEN_END.sub("", text))
-    return WORD.findall(text.casefold())
+        texts = [TAG.sub(" ", INLINE_TAG.sub("", without_comments(text)))]
+        if LONG.search(text):
+            texts.append(SHORT_TAG.sub(" ", SHORT_INLINE_TAG.sub("", text)))
+    out = []
+    for t in texts:
+        if "](" in t:
+            t = LINK.sub("] ", t)
+        t = HYPHEN.sub("", HYPHEN_END.sub("", t))
+        w = WORD.findall(t.casefold())
+        if w not in out:
+            out.append(w)
+    return out
 
 
 def rolling(ids: np.ndarray, k: int) -> np.ndarray:
@@ -74,10 +96,10 @@ class Items:
         self.vocab: dict[str, int] = {}
         self.ids, self.text = [], []
         for item, text in rows:
-            w = words(text)
-            if w:
-                self.ids.append(item)
-                self.text.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64))
+            for w in readings(text):
+                if w:
+                    self.ids.append(item)
+                    self.text.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64))
         hashes, where, at = [], [], []
         for i, t in enumerate(self.text):
             h = rolling(t, min(seed, len(t))) if len(t) >= seed else np.zeros(0, np.uint64)
@@ -112,7 +134,14 @@ class Items:
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(item_id, longest covered stretch of item words, marked words, covered share) by item found in a text."""
-        w = words(text)
+        best: dict[int, tuple[int, int, int, float]] = {}
+        for w in readings(text):
+            for found in self.leaks_of(w):
+                best[found[0]] = max(found, best.get(found[0], found))
+        return list(best.values())
+
+    def leaks_of(self, w: list[str]) -> list[tuple[int, int, int, float]]:
+        """The same for one reading of a text (and every reading of an item)."""
         get = self.vocab.get
         doc = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
         by: dict[int, set[int]] = {}

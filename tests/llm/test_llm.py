@@ -231,3 +231,15 @@ def test_residue_of_one_word():
     for w in words:
         assert template_residue.examine(w.capitalize()) == template_residue.examine(w.upper() + ".") == (True, []), w
     assert not any(template_residue.examine(w)[0] for w in ("Plumbing", "Error", "None", "Forbiddenly", "Bücher"))
+
+
+def test_leakage_through_long_markup():
+    w, far = ITEM.split(), "far " * 1_500
+    index = leakage.Items([(7, ITEM)])
+    for long in (f'<img alt="x" src="data:image/png;base64,{"iVB0/+ " * 800}">', f'<span style="{far}">', f"<!-- {far} <p> {far} -->", f"[x](https://a.example/{'y/' * 2_500})"):
+        k = " ".join(w[:10]) + " " + long.replace("[x]", f"[{w[10]}]") + " " + " ".join(w[11 if "[x]" in long else 10 :])
+        assert [x[0] for x in index.leaks(k) if x[1]] == [7], long[:20]
+    # Words between two distant signs are no tag.
+    assert [x[0] for x in index.leaks(f"x <y and {far} {ITEM} z> 3") if x[1]] == [7]
+    for slow in ("<a " * 50_000, "<!--" * 50_000, "](" * 50_000, "<" * 50_000):
+        assert index.leaks(slow) == []
