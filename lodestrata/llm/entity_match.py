@@ -122,19 +122,26 @@ def with_parts(df: DataFrame) -> DataFrame:
     )
 
 
-def name_terms() -> Column:
-    """Terms by which a row's name (see PARTS) is looked up, alone and with its city."""
-    whole, first, second, city = F.col("whole"), F.col("first"), F.col("second"), F.col("city")
-    two = F.col("n_words") >= 2
+def name_terms(asked: bool) -> Column:
+    """Terms by which a row's name (see PARTS) is looked up, alone and with its city; asked: those of a query.
+
+    Whatever name_level gives 2 or more shares a term, but for names or words of over 60 letters or misspelt twice.
+    Typed acronyms ask no term: level 1 is accepted by mail only, and that is found by its domain.
+    """
+    whole, first, second, last, city, n = F.col("whole"), F.col("first"), F.col("second"), F.col("last"), F.col("city"), F.col("n_words")
+    here = lambda c: F.when(city.isNotNull(), c)
     term = lambda kind, *parts: F.concat(F.lit(kind), F.concat_ws("|", *parts))
-    plain = F.array(
-        term("n:", whole), term("s:", F.col("sorted")), F.when(F.length(first) >= 7, term("w:", first)), F.when(two, term("b:", second, F.substring(first, 1, 5))),
-        F.when(city.isNotNull() & (F.length(first) >= 5), term("f:", first, city)), F.when(city.isNotNull() & two, term("i:", F.col("initials"), city)), F.when(city.isNotNull(), term("c:", whole, city)),
-    )
+    # Of two words in exchanged order the query's last may be short of letters.
+    turned = F.when((n >= 2) & (F.length(last) >= 4), term("b:", first, F.substring(last, 1, 4))) if asked else F.when(n >= 2, term("b:", second, F.substring(first, 1, 4)))
+    plain = F.array(term("n:", whole), term("s:", F.col("sorted")), term("w:", first), turned, here(term("f:", first, city)), here(F.when(n >= 2, term("i:", F.col("initials"), city))), here(term("c:", whole, city)))
     none = F.array().cast("array<string>")
-    near = F.when(F.length(whole).between(8, 60), F.transform(K.one_deletions(whole), lambda v: F.concat(F.lit("x:"), v)))
-    close = F.when(city.isNotNull() & F.length(first).between(7, 30), F.transform(K.one_deletions(first), lambda v: F.concat(F.lit("y:"), v, F.lit("|"), city)))
-    return F.when(whole.isNotNull(), F.array_compact(F.concat(plain, F.coalesce(near, none), F.coalesce(close, none))))
+    deletions = lambda kind, c, *parts: F.transform(K.one_deletions(c), lambda v: term(kind, v, *parts))
+    # One letter below the floors of name_level, as the other name may be the longer one.
+    near = F.when(F.length(whole).between(7, 60), deletions("x:", whole))
+    long = F.length(first).between(6, 60)
+    close = F.when(long & (n == 1 if asked else F.lit(True)), deletions("v:", first))
+    close_here = here(F.when(long, deletions("y:", first, city)))
+    return F.when(whole.isNotNull(), F.array_compact(F.concat(plain, *[F.coalesce(c, none) for c in (near, close, close_here)])))
 
 
 def name_level(n: Column) -> Column:
@@ -208,10 +215,10 @@ def scored_pairs(targets: DataFrame, people: DataFrame, reference: DataFrame) ->
     term = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(kind), c))
     named = docs.select("entity", F.explode("names").alias("n"), F.when(F.size("cities") > 0, F.col("cities")).alias("cities")).select("entity", "n.*", F.explode_outer("cities").alias("city"))
     owned = docs.select("entity", F.explode("domains").alias("d")).select("entity", F.array(term("d:", F.col("d")), term("n:", core_of(F.col("d")))).alias("t"))
-    index = named.select("entity", name_terms().alias("t")).unionByName(owned).select("entity", F.explode("t").alias("term")).distinct()
+    index = named.select("entity", name_terms(False).alias("t")).unionByName(owned).select("entity", F.explode("t").alias("term")).distinct()
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     hosts = F.array_compact(F.array(term("d:", F.col("mail")), term("n:", F.col("mail_core")), term("d:", F.col("typed_host")), term("n:", F.col("typed_core"))))
-    asked = queries.select("query", F.explode(F.concat(hosts, F.coalesce(name_terms(), F.array().cast("array<string>")))).alias("term")).distinct()
+    asked = queries.select("query", F.explode(F.concat(hosts, F.coalesce(name_terms(True), F.array().cast("array<string>")))).alias("term")).distinct()
     n = docs.count()
     # Every attribute holds a value once, so BM25's frequency and length factors are 1 and its rarity remains.
     idf = lambda c: F.log1p((F.lit(float(n)) - c + 0.5) / (c + 0.5))

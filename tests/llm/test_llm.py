@@ -243,3 +243,11 @@ def test_leakage_through_long_markup():
     assert [x[0] for x in index.leaks(f"x <y and {far} {ITEM} z> 3") if x[1]] == [7]
     for slow in ("<a " * 50_000, "<!--" * 50_000, "](" * 50_000, "<" * 50_000):
         assert index.leaks(slow) == []
+
+
+def test_entity_names_in_part(spark):
+    a = [(1, "Acme Logistics", "acmelog.test", None, None, "Eastton", "Japan", None), (2, "Quarane Press", "qp.test", None, None, "Oldwick", "Japan", None), (3, "Pelanor Foods", "pf.test", None, None, None, "Niger", None), (4, "Mistral", "mi.test", None, None, "Redford", "Japan", None)]
+    a += [(i, f"{chr(97 + i % 25) * 5}{chr(97 + i // 25) * 5} Trade", f"t{i}.test", None, None, None, "Austria", None) for i in range(100, 200)]
+    p = [(11, "Acme", None, "Eastton", "Japan"), (12, "Press by Quara", None, "Oldwick", "Japan"), (13, "Pelanur", None, None, "Niger"), (14, "Misttral", None, "Redford", "Japan")]
+    got = entity_match.match(spark.createDataFrame(a, AIARK), spark.createDataFrame(p, PEOPLE), spark.createDataFrame(REFS, REF))
+    assert sorted((r["aiark_row_id"], r["salesnav_row_id"]) for r in got.collect()) == [(1, 11), (2, 12), (3, 13), (4, 14)]
