@@ -157,6 +157,8 @@ def settle(rows: DataFrame, close: DataFrame, max_rounds: int = 1_000) -> DataFr
         todo = stored(rest.join(gone, "record_id", "left_anti"), "todo")
         if not todo.take(1):
             break
+    else:
+        raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
     out = accepted[0]
     for more in accepted[1:]:
         out = out.unionByName(more)

@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import byte_bpe, canonical_list, entity_match, history_dedupe, leakage, nonprose, template_residue
 
@@ -251,3 +252,12 @@ def test_entity_names_in_part(spark):
     p = [(11, "Acme", None, "Eastton", "Japan"), (12, "Press by Quara", None, "Oldwick", "Japan"), (13, "Pelanur", None, None, "Niger"), (14, "Misttral", None, "Redford", "Japan")]
     got = entity_match.match(spark.createDataFrame(a, AIARK), spark.createDataFrame(p, PEOPLE), spark.createDataFrame(REFS, REF))
     assert sorted((r["aiark_row_id"], r["salesnav_row_id"]) for r in got.collect()) == [(1, 11), (2, 12), (3, 13), (4, 14)]
+
+
+def test_undecided_rows_are_not_dropped(spark):
+    rows = spark.createDataFrame([(1, "d1", None), (2, "d1", "p1"), (3, None, "p1")], "record_id bigint, dkey string, lkey string")
+    rows = rows.select(*[c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in history_dedupe.COLUMNS])
+    close = history_dedupe.near_domains(rows)
+    assert sorted(r["record_id"] for r in history_dedupe.settle(rows, close).collect()) == [1, 3]
+    with pytest.raises(RuntimeError):
+        history_dedupe.settle(rows, close, max_rounds=1)
