@@ -1,13 +1,16 @@
 """Free-entered values mapped to a canonical list.
 
 Token-level repair: every distinct typed token is joined to the vocabulary of the reference list by edit
-distance (an equality join on deletion neighbourhoods, verified by levenshtein), then the repaired tokens are
+distance (a hash join on deletion neighbourhoods, verified by counting edits), then the repaired tokens are
 combined by soft TF-IDF, which ranks the names of the entries. A value whose best name stays below the
 threshold, or whose best name is one of a known thing outside the list, maps to no entry (0).
 
-The reference list is small by contract (10,000 rows at most, checked); typed values of any number are only
-ever joined. Work is done once a distinct value, then joined back, so a value that holds a third of all rows
-costs no more than any other.
+Names of an entry are its label, its note's phrases, the initials of its label and, for countries, what the JVM's
+locale data call it in many languages; nothing else is known about any list.
+
+The reference list is small by contract (10,000 rows at most, checked), so its vocabulary is the side of the join
+that is broadcast; typed values of any number stay where they are. Work is done once a distinct value, then joined
+back, so a value that holds a third of all rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -15,11 +18,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,33 +39,6 @@ NOISE_WEIGHT = 0.12
 # Languages whose country names are understood.
 LANGUAGES = "en de es fr it pt nl sv da nb fi pl cs sk sl hu ro el tr uk he ar hi ur bn zh ja ko vi th id ms ga is".split()
 OTHER_LANGUAGES = "en de es fr".split()
-# Names of countries that no locale data hold, by ISO code.
-COUNTRY_NAMES = {
-    "US": "america|the states|usa|united states of america|estados unidos de america|etats unis d amerique|vereinigte staaten von amerika",
-    "GB": "britain|great britain|england|uk|united kingdom of great britain", "CA": "cdn", "DE": "bundesrepublik|brd|federal republic of germany|bundesrepublik deutschland",
-    "FR": "republique francaise|french republic", "ES": "reino de espana|kingdom of spain", "IT": "repubblica italiana", "NL": "holland|the netherlands|koninkrijk der nederlanden",
-    "CH": "confoederatio helvetica|swiss confederation|swiss", "AT": "oesterreich|republik osterreich", "AU": "oz|aussie|down under", "NZ": "aotearoa|n zealand", "IE": "eire|republic of ireland",
-    "CZ": "czech republic|ceska republika", "SK": "slovak republic|slovenska republika", "GR": "hellas|hellenic republic", "PT": "republica portuguesa", "TR": "turkey|turkiye cumhuriyeti",
-    "AE": "emirates|uae|the emirates", "SA": "ksa", "IN": "bharat", "BD": "bangla desh", "SG": "s pore|spore", "PH": "pilipinas|the philippines", "VN": "viet nam", "TH": "siam",
-    "JP": "nippon|nihon", "KR": "republic of korea|korea south|s korea|korea republic|rok|대한민국|한국", "CN": "prc|peoples republic of china|mainland china|中国", "TW": "chinese taipei|formosa|republic of china",
-    "HK": "hong kong sar|hongkong|h k", "ZA": "rsa|s africa|republic of south africa", "HU": "hungarian republic", "NE": "republique du niger", "ID": "republik indonesia", "BR": "republica federativa do brasil",
-}
-# What people call an industry, by label, beyond the note of the entry.
-INDUSTRY_NAMES = {
-    "Cloud Software": "software vendor|cloud sw|hosted software", "Managed IT Support": "it services|it support|it helpdesk", "Cyber Defence": "cybersecurity|it security", "Data Centres & Hosting": "data centers|server hosting|cloud hosting",
-    "Semiconductor Design": "chip maker|chip design|chips|semicon dsgn", "Skin & Hair Cosmetics": "makeup brand|cosmetics brand|skincare|hair care", "Apparel & Footwear": "fashion label|shoe brand", "Home Furnishings": "furniture maker|interior furnishings",
-    "Pet Nutrition": "animal feed for pets|pet food|dog food|cat treats", "Packaged Foods": "snack maker|food products|food producer", "Breweries & Wineries": "vineyard|craft beer|brewery|winery|spirits|distillery", "Coffee Roasting": "bean roastery|coffee roaster|coffee beans|espresso supplier",
-    "Sporting Goods": "sports equipment", "Toys & Hobby Kits": "kids games|toy maker|hobby shop", "Jewellery & Watches": "goldsmith|jeweller|watchmaker", "Hospital Networks": "medical centre|clinic group|hospital group",
-    "Dental Practices": "oral care|dentist|dental clinic", "Veterinary Care": "animal doctor|vet surgery|veterinarian|vet clinic", "Medical Devices": "medical equipment", "Pharmaceutical Research": "drug research|pharm r d|pharma r d|pharma",
-    "Gyms & Studios": "health club|fitness club|fitness centre", "Residential Building": "home construction|house builder|home builder|housing developer|resid bldg", "Civil Engineering": "bridge building|road construction|tunnel building", "Architecture Offices": "building designers|architectural design|architects",
-    "Plumbing & Heating": "boiler repair|pipe fitters|plumber|heating engineer", "Roofing Contractors": "roof repair|roofer", "Landscape Gardening": "gardener|garden maintenance", "Solar & Wind Power": "green energy|renewable energy|wind farms",
-    "Oilfield Equipment": "rig tools|oil drilling|oil and gas equipment", "Water Treatment": "drinking water purification|sewage works|waste water", "Freight Forwarding": "cargo shipping|customs broker|shipping agent", "Warehousing": "storage facilities|fulfilment centre|logistics storage",
-    "Passenger Airlines": "airline|pax airlines|air carrier", "Automotive Repair": "car workshop|body shop|car repair|garage|auto repair", "Machine Tools": "milling machines|lathes and milling", "Plastics Moulding": "plastic containers|plastic parts",
-    "Paper & Packaging": "cartons|packaging maker|paper mill", "Commercial Printing": "labels and signage|printer|print shop", "Advertising Agencies": "creative agency|marketing agency|advtg agys", "Market Surveys": "focus groups|market research|polling",
-    "Retail Banking": "bank|savings and loans|savings bank", "Insurance Brokerage": "insurance broker|insurer", "Private Equity": "investment fund|buyout fund|venture capital|pe fund", "Accountancy": "auditing|accountants|tax consultants",
-    "Law Firms": "legal practice|lawyers|legal services", "Staffing & Recruitment": "temp agency|recruiters|employment agency", "Higher Education": "degree programmes|university|college", "Hotels & Resorts": "guest house|hotel chain|inns",
-}
-
 
 def fold(text: str) -> list[str]:
     """Words of a value: no accents, case, punctuation or entities; camel case apart, dotted initials joined."""
@@ -89,6 +68,7 @@ class Name:
     ref_id: int
     words: tuple[str, ...]
     label: bool = False
+    initials: bool = False  # only as it stands: too short to be repaired
 
 
 def country_names(spark: SparkSession, codes: dict[str, int]) -> list[tuple[int, str]]:
@@ -101,7 +81,6 @@ def country_names(spark: SparkSession, codes: dict[str, int]) -> list[tuple[int,
         here = locale("", code)
         out += [(ref, here.getDisplayCountry(spoken[x])) for x in (LANGUAGES if ref else OTHER_LANGUAGES)]
         out += [(ref, code), (ref, here.getISO3Country())]
-        out += [(ref, n) for n in COUNTRY_NAMES.get(code, "").split("|") if n]
     return out
 
 
@@ -111,13 +90,13 @@ def reference_names(spark: SparkSession, reference: DataFrame) -> list[Name]:
     out: dict[tuple[str, tuple[str, ...]], Name] = {}
     clash: set[tuple[str, tuple[str, ...]]] = set()
 
-    def add(kind: str, ref: int, text: str, label: bool = False) -> None:
+    def add(kind: str, ref: int, text: str, label: bool = False, initials: bool = False) -> None:
         words = tuple(fold(text))
         if not words:
             return
         have = out.get((kind, words))
         if have is None or (label and not have.label):
-            out[kind, words] = Name(kind, ref, words, label)
+            out[kind, words] = Name(kind, ref, words, label, initials)
         elif have.ref_id != ref and not have.label:
             clash.add((kind, words))
 
@@ -134,8 +113,9 @@ def reference_names(spark: SparkSession, reference: DataFrame) -> list[Name]:
         for text in re.split(r"[,;()]|\band\b", r["note"] or ""):
             add(r["kind"], r["ref_id"], text)
             add(r["kind"], r["ref_id"], " ".join(re.sub(r"(ies|s)$", lambda m: "y" if m[0] == "ies" else "", w) if len(w) > 4 and not w.endswith("ss") else w for w in text.split()))
-        for text in INDUSTRY_NAMES.get(r["label"], "").split("|"):
-            add(r["kind"], r["ref_id"], text)
+        words = fold(r["label"])
+        if len(words) > 1:
+            add(r["kind"], r["ref_id"], "".join(w[0] for w in words), initials=True)
     return [n for k, n in out.items() if k not in clash]
 
 
@@ -151,7 +131,7 @@ def deletions(word: str, most: int) -> set[str]:
 
 def reach(word: str) -> int:
     """Edits that a word may have suffered: none below 3 letters, one below 5, else two; codes with digits none."""
-    return 0 if len(word) < 3 or len(word) > 40 or any(c.isdigit() for c in word) else 1 if len(word) < 5 else 2
+    return 0 if len(word) < 3 or any(c.isdigit() for c in word) else 1 if len(word) < 5 else 2
 
 
 def edits(a: str, b: str) -> int:
@@ -187,18 +167,52 @@ def shortened(a: str, b: str) -> bool:
     return all(c in at for c in a)
 
 
+class Vocabulary:
+    """The words of one kind, found by what they have in common with a typed word but for a few letters."""
+
+    LONG = 48  # longer words are compared one by one with those of about their length, as their deletions are many
+
+    def __init__(self, words: list[str]):
+        self.words = sorted(set(words))
+        self.exact = set(self.words)
+        self.by_length: dict[int, list[str]] = defaultdict(list)
+        self.longest = max(map(len, self.words), default=0)
+        hashes, where = [], []
+        for i, w in enumerate(self.words):
+            if len(w) > self.LONG:
+                self.by_length[len(w)].append(w)
+            else:
+                some = [xxhash.xxh3_64_intdigest(d) for d in deletions(w, reach(w))]
+                hashes += some
+                where += [i] * len(some)
+        h = np.array(hashes, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.hash, self.where = h[order], np.array(where, np.int32)[order]
+
+    def near(self, word: str) -> list[tuple[str, float]]:
+        """(word of the vocabulary, similarity) for all within two edits, in alphabetical order."""
+        most = reach(word)
+        if not most or len(word) > self.longest + 2:
+            return [(word, 1.0)] if word in self.exact else []
+        found = {w for k in range(len(word) - 2, len(word) + 3) for w in self.by_length.get(k, ())}
+        if len(word) <= self.LONG + 2:
+            h = np.array([xxhash.xxh3_64_intdigest(d) for d in deletions(word, most)], np.uint64)
+            lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+            found.update(self.words[j] for a, b in zip(lo, hi) for j in self.where[a:b])
+        return [(w, sim) for w in sorted(found) if (sim := similarity(word, w)) > 0]
+
+
 class Ranker:
     """Ranks names for one value by soft TF-IDF over repaired tokens."""
 
-    def __init__(self, names: list[Name], threshold: float):
+    def __init__(self, names: list[Name], vocabularies: dict[str, Vocabulary], threshold: float):
         self.threshold = threshold
-        self.names = [n for n in names]
+        self.names, self.vocabularies = names, vocabularies
+        self.memo: dict[tuple[str, str], list[tuple[str, float]]] = {}
         self.by_word: dict[tuple[str, str], list[int]] = defaultdict(list)
         df: dict[tuple[str, str], set[int]] = defaultdict(set)
-        count: dict[str, int] = defaultdict(int)
         for i, n in enumerate(names):
-            count[n.kind] += 1
-            for w in set(n.words):
+            for w in () if n.initials else set(n.words):
                 self.by_word[n.kind, w].append(i)
                 df[n.kind, w].add(n.ref_id if n.ref_id else -1 - i)
         self.idf = {k: math.log(1 + 60 / len(v)) for k, v in df.items()}
@@ -206,18 +220,44 @@ class Ranker:
         self.whole: dict[tuple[str, str], int] = {}
         for i, n in enumerate(names):
             self.whole.setdefault((n.kind, "".join(n.words)), i)
-        self.labels: dict[str, list[int]] = defaultdict(list)
+        # Labels in alphabetical order, to complete what is cut off, and by first letters, to read abbreviations.
+        self.spelt: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        self.initials: dict[tuple[str, str], list[int]] = defaultdict(list)
         for i, n in enumerate(names):
             if n.label:
-                self.labels[n.kind].append(i)
+                solid = [w for w in n.words if w not in NOISE]
+                self.spelt[n.kind] += [("".join(n.words), n.ref_id), ("".join(solid), n.ref_id)]
+                for words in {n.words, tuple(solid)}:
+                    self.initials[n.kind, "".join(w[0] for w in words)].append(i)
+        for some in self.spelt.values():
+            some.sort()
         self.norm = [math.sqrt(sum(self.weight(n.kind, w) ** 2 for w in n.words)) for n in names]
 
+    def near(self, kind: str, word: str) -> list[tuple[str, float]]:
+        """The repairs of a token. Each distinct token is repaired once (remembered; the memory is emptied when large)."""
+        if (kind, word) not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[kind, word] = self.vocabularies[kind].near(word) if kind in self.vocabularies else []
+        return self.memo[kind, word]
+
+    def completed(self, kind: str, start: str) -> set[int]:
+        """The entries whose label starts so."""
+        some = self.spelt[kind]
+        out, at = set(), bisect_left(some, (start, -1))
+        while at < len(some) and some[at][0].startswith(start) and len(out) < 2:
+            out.add(some[at][1])
+            at += 1
+        return out
+
     def weight(self, kind: str, word: str) -> float:
         w = self.idf.get((kind, word), self.top)
         return w * NOISE_WEIGHT if word in NOISE else w
 
-    def rank(self, kind: str, value: str, words: list[str], near: dict[str, list[tuple[str, float]]]) -> tuple[int, float]:
+    def rank(self, kind: str, value: str) -> tuple[int, float]:
         """(ref_id, score); 0 where no name reaches the threshold. Ties go to the smaller ref_id."""
+        words = fold(value)
+        near = {w: self.near(kind, w) for w in dict.fromkeys(words)}
         solid = [w for w in words if w not in NOISE] or words
         for key in ("".join(words), "".join(solid)):
             if (kind, key) in self.whole:
@@ -242,7 +282,7 @@ class Ranker:
             best = max(best, (score, n.label, -n.ref_id), key=lambda x: (round(x[0], 9), x[1], x[2]))
         # The value run together or misspelt as a whole.
         for key in {"".join(words), "".join(solid)}:
-            for v, sim in near.get(key, ()):
+            for v, sim in self.near(kind, key):
                 if (kind, v) in self.whole and sim >= 0.75:
                     n = self.names[self.whole[kind, v]]
                     best = max(best, (sim, n.label, -n.ref_id))
@@ -250,16 +290,19 @@ class Ranker:
             return -best[2], best[0]
         # Cut off, or abbreviated word by word: only where it names one label.
         joined = "".join(solid)
-        if len(joined) >= 6:
-            cut = {self.names[i].ref_id for i in self.labels[kind] if "".join(self.names[i].words).startswith("".join(words)) or "".join(w for w in self.names[i].words if w not in NOISE).startswith(joined)}
+        if len(joined) >= 5:
+            cut = self.completed(kind, "".join(words)) | self.completed(kind, joined)
             if len(cut) == 1:
                 return cut.pop(), 0.9
         short = set()
-        for i in self.labels[kind]:
-            full = self.names[i].words
-            for given, target in ((words, list(full)), (solid, [w for w in full if w not in NOISE])):
-                if len(target) == len(given) and sum(map(len, given)) >= 5 and all(a == b or (len(a) > 1 and shortened(a, b)) for a, b in zip(given, target)):
-                    short.add(self.names[i].ref_id)
+        for given in (words, solid):
+            if sum(map(len, given)) < 5:
+                continue
+            for i in self.initials.get((kind, "".join(w[0] for w in given)), ()):
+                full = self.names[i].words
+                for target in (list(full), [w for w in full if w not in NOISE]):
+                    if len(target) == len(given) and all(a == b or (len(a) > 1 and shortened(a, b)) for a, b in zip(given, target)):
+                        short.add(self.names[i].ref_id)
         if len(short) == 1:
             return short.pop(), 0.88
         # A place followed by the entry's own name, apart by punctuation.
@@ -279,52 +322,20 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = THRES
     """
     spark = values.sparkSession
     names = reference_names(spark, reference)
-    ranker_names = spark.sparkContext.broadcast(names)
-    vocabulary = sorted({(n.kind, w) for n in names for w in (*n.words, "".join(n.words))})
-    words_held = spark.createDataFrame(pd.DataFrame(vocabulary or [("", "")], columns=["kind", "word"]), "kind string, word string")
-
-    distinct = values.where("kind IS NOT NULL AND value IS NOT NULL AND trim(value) <> ''").groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one")
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for kind, value in zip(pdf["kind"], pdf["value"]):
-                words = fold(value)
-                solid = [w for w in words if w not in NOISE] or words
-                for w in dict.fromkeys([*words, "".join(words)[:60], "".join(solid)[:60], ""]):
-                    rows.append((kind, value, w))
-            yield pd.DataFrame(rows, columns=["kind", "value", "word"])
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, w, d) for k, w in zip(pdf["kind"], pdf["word"]) for d in deletions(w, reach(w))]
-            yield pd.DataFrame(rows, columns=["kind", "word", "key"])
-
-    tokens = distinct.mapInPandas(split, "kind string, value string, word string")
-    words = tokens.where("word <> ''").groupBy("kind", "word").agg(F.lit(1).alias("one")).drop("one")
-    # Both sides spell out their deletions on the workers.
-    keys = words.mapInPandas(spread, "kind string, word string, key string")
-    vocab = words_held.repartition("word").mapInPandas(spread, "kind string, word string, key string").withColumnRenamed("word", "near")
-    # Repair: candidates share a deletion, then levenshtein decides. Sorted lists keep the result deterministic.
-    near = keys.join(vocab, ["kind", "key"]).select("kind", "word", "near").distinct()
-    near = near.withColumn("d", F.levenshtein("word", "near")).where("d <= 4")  # two swaps are four
-    near = near.groupBy("kind", "word").agg(F.array_sort(F.collect_list(F.struct("near", "d"))).alias("near"))
-    gathered = tokens.join(near, ["kind", "word"], "left").groupBy("kind", "value").agg(F.collect_list(F.struct("word", "near")).alias("words"))
+    spelt = {k: Vocabulary([w for n in names if n.kind == k and not n.initials for w in (*n.words, "".join(n.words))]) for k in {n.kind for n in names}}
+    held = spark.sparkContext.broadcast((names, spelt))
+    distinct = values.where("kind IS NOT NULL AND value IS NOT NULL AND trim(value) <> ''").select("kind", "value").distinct()
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranker = Ranker(ranker_names.value, threshold)
+        ranker = None
         for pdf in batches:
-            rows = []
-            for kind, value, found in zip(pdf["kind"], pdf["value"], pdf["words"]):
-                close = {}
-                for f in found:
-                    if f["near"] is not None:
-                        close[f["word"]] = [(x["near"], similarity(f["word"], x["near"])) for x in f["near"]]
-                ref, score = ranker.rank(kind, value, fold(value), close)
-                rows.append((kind, value, ref, float(score)))
-            yield pd.DataFrame(rows, columns=["kind", "value", "ref_id", "score"])
-
-    return gathered.mapInPandas(rank, "kind string, value string, ref_id bigint, score double")
+            ranker = ranker or Ranker(*held.value, threshold)
+            rows = [(k, v, *ranker.rank(k, v)) for k, v in zip(pdf["kind"], pdf["value"])]
+            yield pd.DataFrame(rows, columns=["kind", "value", "ref_id", "score"]).astype({"score": float})
+
+    # Spread evenly: distinct values are few bytes but much work.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return distinct.repartition(tasks).mapInPandas(rank, "kind string, value string, ref_id bigint, score double")
 
 
 def map_columns(sources: list[tuple[str, DataFrame, str, str]], reference: DataFrame) -> DataFrame:
