@@ -1,19 +1,30 @@
 """Companies of two sources matched without a common key.
 
-Rows of the target table are first gathered into entities by what identifies them (domain, page; name with
-place where both are missing). Entities are documents, people's typed employers are queries. An inverted index
-over all attributes retrieves candidates; BM25 sums the rarity of all attributes that agree; the best entity of
-a query must be its nearest by a gap and the query among the entity's near ones; a logistic function, fitted on
-pairs whose mail domain tells the truth, turns agreement and gap into a confidence.
-
-Nothing is pruned: a term counts however many entities hold it, as a place may still single one out among them. A
-frequent term costs its askers times its holders; the join on terms can be split where they are skewed. Queries are
-collapsed to distinct profiles and rows to entities before any join, so a company that holds a third of all rows is
-scored once; rows come back by membership at the end.
+Rows of the target table are first gathered into entities by what identifies them (domain, page; name with place
+where both are missing). Entities are the documents of an inverted index over all attributes: the words of the name,
+the name as a whole, domain, city and country. People's typed employers, collapsed to distinct profiles, are the
+queries. A pair's score is BM25: rarity of each shared term, times its saturated frequency among the entity's
+statements of that attribute. Typed words that no entity has are first repaired to words of the index.
+
+Retrieval is exact for the TOP best entities of a query, by bounds on the terms:
+
+* rare terms (LIGHT entities at most) are expanded, which gives candidates; frequent terms and places are then only
+  looked up for candidates;
+* an entity that shares nothing but frequent terms scores at most the sum of their upper bounds. Where that stays
+  below the best score by the gap that counts as full, such an entity changes nothing and is pruned unseen;
+* the other queries are reduced to their distinct sets of frequent terms and places, which are few, and each set is
+  expanded once, over all holders. Nothing is dropped, however many hold a term.
+
+The best entity must be a mutual nearest one: no query that is nearer to some other entity is nearer to it. A logistic
+function of the gap to the next entity, the share of the name that fits and the places, calibrated on pairs whose mail
+domain tells the truth, gives log odds; what a mail domain adds to them for or against is measured as well.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +34,19 @@ from lodestrata.llm.canonical_list import map_values
 from lodestrata.operators import keys as K
 from lodestrata.session import stored
 
+TOP = 10
+LIGHT = 50
+K1 = 0.3  # BM25's saturation; its length normalisation is full (b = 1)
+SATURATED = 5.0  # a gap that counts as full
+NAME_FLOOR = 0.7  # the share of a typed name's words that must fit, unless the host does
 LABELLED = 20_000
-ACCEPT = 0.5
-NEAR = 0.2  # share of an entity's best score from which a query counts as near to it
+ACCEPT = 0.4
 # What people add to the name of their employer.
 ADDED = r"(?i)\s*(?:\|.*|\((?:part|full)[- ]time\)|\((?:self|freelance|contract)[^)]*\)|\s-\s(?:[A-Z]{2}|[A-Z][a-z]+)$|[®™©]|we'?re hiring.*)\s*$"
 NOBODY = r"^(?:confidential|self[- ]?employed|freelanc\w*|independent(?: consultant)?|stealth.*|private|unemployed|retired|n/?a|none|unknown|various|-)$"
 LEGAL = "inc|incorporated|llc|ltd|limited|gmbh|ag|sa|s a|bv|b v|nv|plc|corp|corporation|co|and co|company|holdings?|group|srl|sas|sarl|oy|ab|as|kg|pty|pte|llp|lp"
+# Words that only connect.
+CONNECTING = ("of", "by", "the", "and", "at", "for", "a", "de", "der", "und", "y", "et")
 FEATURES = ("name", "city_same", "city_other", "country_same", "country_other", "gap")
 
 
@@ -40,7 +57,9 @@ def words_of(c: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(F.lower(t), "&", " and "), r"(?U)[^\w]+", " ")
     t = F.regexp_replace(F.trim(t), r"^the (.*) company$", "$1")
     t = F.trim(F.regexp_replace(F.trim(t), rf"(?: (?:{LEGAL}))+$", ""))
-    return F.when(~F.lower(F.trim(c)).rlike(NOBODY) & (t != ""), F.split(t, " "))
+    words = F.split(t, " ")
+    telling = F.filter(words, lambda w: ~w.isin(*CONNECTING))
+    return F.when(~F.lower(F.trim(c)).rlike(NOBODY) & (t != ""), F.when(F.size(telling) > 0, telling).otherwise(words))
 
 
 def core_of(host: Column) -> Column:
@@ -109,58 +128,178 @@ def entities(rows: DataFrame) -> DataFrame:
     stand_in = F.coalesce(F.when(F.col("only") == F.col("last"), F.col("only")), F.col("first"), F.col("entity"))
     return rows.withColumn("entity", F.when(alone, stand_in).otherwise(F.col("entity"))).drop("only", "last", "first", "place", "name")
 
+Terms = list[tuple[str, str, Column]]  # slot, kind of token, value
 
-PARTS = ["whole", "sorted", "first", "second", "last", "initials", "n_words"]
 
+def exploded(df: DataFrame, keep: str, terms: Terms) -> DataFrame:
+    """keep, slot, token: the words of a name (slots w0, w1, ...) and the given terms. Terms of one slot say one thing."""
+    none = F.array().cast("array<struct<slot:string,token:string>>")
+    words = F.transform("words", lambda w, i: F.struct(F.concat(F.lit("w"), i.cast("string")).alias("slot"), F.concat(F.lit("w:"), w).alias("token")))
+    others = [F.when(c.isNotNull(), F.struct(F.lit(slot).alias("slot"), F.concat(F.lit(kind), c.cast("string")).alias("token"))) for slot, kind, c in terms]
+    return df.select(keep, F.explode(F.concat(F.coalesce(words, none), F.array_compact(F.array(*others)))).alias("s")).select(keep, "s.slot", "s.token")
+
+
+def whole() -> Column:
+    """A name run together; null for none."""
+    c = F.array_join("words", "")
+    return F.when(c != "", c)
 
-def with_parts(df: DataFrame) -> DataFrame:
-    """df with the parts of its words that names are compared by."""
-    w = F.col("words")
-    return df.select(
-        "*", F.array_join(w, "").alias("whole"), F.array_join(F.array_sort(w), " ").alias("sorted"), F.try_element_at(w, F.lit(1)).alias("first"), F.try_element_at(w, F.lit(2)).alias("second"),
-        F.try_element_at(w, F.lit(-1)).alias("last"), F.array_join(F.transform(w, lambda x: F.substring(x, 1, 1)), "").alias("initials"), F.size(w).alias("n_words"),
-    )
 
+def any_order() -> Column:
+    """A name run together with its words in alphabetical order; null for less than two."""
+    return F.when(F.size("words") > 1, F.array_join(F.array_sort("words"), ""))
 
-def name_terms(asked: bool) -> Column:
-    """Terms by which a row's name (see PARTS) is looked up, alone and with its city; asked: those of a query.
 
-    Whatever name_level gives 2 or more shares a term, but for names or words of over 60 letters or misspelt twice.
-    Typed acronyms ask no term: level 1 is accepted by mail only, and that is found by its domain.
+def rarity(df: Column, n: int) -> Column:
+    """BM25's weight of a term that df of n entities hold."""
+    return F.log1p((F.lit(float(n)) - df + 0.5) / (df + 0.5))
+
+
+def inverted_index(t: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(entity, token, sat of every entity; token, df; the number of entities).
+
+    t: target rows with entity, words, dkey, city, country_ref. A term's frequency is the number of rows that state
+    it; the length of its field is the number of rows that state the field, and the normalisation by it is full. The
+    tokens ?d, ?c and ?k say that an entity has a domain, a city, a country at all.
+    """
+    said = exploded(t, "entity", [("n", "n:", whole()), ("s", "s:", any_order()), ("d", "d:", F.col("dkey")), ("o", "o:", core_of(F.col("dkey"))), ("c", "c:", F.col("city")), ("k", "k:", F.col("country_ref"))])
+    tf = said.groupBy("entity", F.substring("slot", 1, 1).alias("field"), "token").agg(F.count("*").alias("tf"))
+    length = tf.groupBy("entity", "field").agg(F.when(F.col("field") == "w", F.max("tf")).otherwise(F.sum("tf")).alias("dl"))
+    size = length.groupBy("field").agg(F.avg("dl").alias("avgdl"))  # six rows
+    tfn = F.col("tf") * F.col("avgdl") / F.col("dl")
+    share = tf.join(length, ["entity", "field"]).join(F.broadcast(size), "field").select("entity", "token", (tfn * (1 + K1) / (tfn + K1)).alias("sat"))
+    known = length.where("field IN ('d', 'c', 'k')").select("entity", F.concat(F.lit("?"), "field").alias("token"), F.lit(0.0).alias("sat"))
+    index = stored(share.unionByName(known), "index")
+    df = stored(index.groupBy("token").agg(F.count("*").alias("df")), "rarity")
+    return index, df, t.agg(F.count_distinct("entity")).first()[0]
+
+
+def repairs(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """token, itoken, sim: terms that no entity has, and those of the index that are two edits away or begin so.
+
+    Both sides are distinct words and names. They meet by what is left without one letter, or by the beginning.
     """
-    whole, first, second, last, city, n = F.col("whole"), F.col("first"), F.col("second"), F.col("last"), F.col("city"), F.col("n_words")
-    here = lambda c: F.when(city.isNotNull(), c)
-    term = lambda kind, *parts: F.concat(F.lit(kind), F.concat_ws("|", *parts))
-    # Of two words in exchanged order the query's last may be short of letters.
-    turned = F.when((n >= 2) & (F.length(last) >= 4), term("b:", first, F.substring(last, 1, 4))) if asked else F.when(n >= 2, term("b:", second, F.substring(first, 1, 4)))
-    plain = F.array(term("n:", whole), term("s:", F.col("sorted")), term("w:", first), turned, here(term("f:", first, city)), here(F.when(n >= 2, term("i:", F.col("initials"), city))), here(term("c:", whole, city)))
+    bare = lambda c: F.substr(F.col(c), F.lit(3))
+    keyed = lambda mark, c, xs: F.transform(xs, lambda v: F.concat(F.lit(mark), F.substring(c, 1, 2), v))
     none = F.array().cast("array<string>")
-    deletions = lambda kind, c, *parts: F.transform(K.one_deletions(c), lambda v: term(kind, v, *parts))
-    # One letter below the floors of name_level, as the other name may be the longer one.
-    near = F.when(F.length(whole).between(7, 60), deletions("x:", whole))
-    long = F.length(first).between(6, 60)
-    close = F.when(long & (n == 1 if asked else F.lit(True)), deletions("v:", first))
-    close_here = here(F.when(long, deletions("y:", first, city)))
-    return F.when(whole.isNotNull(), F.array_compact(F.concat(plain, *[F.coalesce(c, none) for c in (near, close, close_here)])))
-
-
-def name_level(n: Column) -> Column:
-    """How well a query's name fits one of an entity's (a struct of PARTS): 3 alike, 2.5 nearly, 2 in part, 1 initials."""
-    a, two = F.col("whole"), F.col("n_words") >= 2
-    part = (F.col("n_words") == 1) & ((a == n["first"]) | ((F.length(a) >= 7) & (F.levenshtein(a, n["first"]) <= 2)))
-    by = two & (F.col("first") == n["second"]) & n["first"].startswith(F.col("last")) & (F.length("last") >= 4)
-    return (
-        F.when((a == n["whole"]) | (F.col("sorted") == n["sorted"]), 3.0)
-        .when((F.length(a) >= 8) & (F.levenshtein(a, n["whole"]) <= 2), 2.5)
-        .when(by, 2.2)
-        .when(part, 2.0)
-        .when(two & (F.col("first") == n["first"]), 1.2)
-        .when(a == n["initials"], 1.0)
-        .otherwise(0.0)
+    word = F.col("token").startswith("w:")
+    size = F.length("token") - 2
+    deleted = F.coalesce(F.when(size >= 6, keyed("x", "token", K.one_deletions(bare("token")))), none)
+    begun = F.when(word & (size >= 4), F.array(F.concat(F.lit("p"), "token")))
+    begins = F.when(word & (size > 4), keyed("p", "token", F.transform(F.sequence(F.lit(4), size - 1), lambda i: F.substring("token", F.lit(3), i))))
+    a = unknown.select("token", F.explode(F.concat(deleted, F.coalesce(begun, none))).alias("key"))
+    b = vocabulary.select(F.col("token").alias("itoken"), F.explode(F.concat(deleted, F.coalesce(begins, none))).alias("key"))
+    d = F.levenshtein("token", "itoken")
+    long = F.greatest(F.length("token"), F.length("itoken")) - 2
+    sim = F.when((d <= 2) & (long >= 7), 1 - d / long).when(F.col("key").startswith("p"), (F.length("token") - 2) / long)
+    return a.join(b, "key").select("token", "itoken", sim.alias("sim")).where("sim IS NOT NULL").groupBy("token", "itoken").agg(F.max("sim").alias("sim"))
+
+
+def asked_terms(queries: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """query, slot, token (of the index; null where it has none alike), df, gain (what a full fit brings), sim."""
+    asks: Terms = [("n", "n:", whole()), ("n", "s:", any_order()), ("n", "o:", whole()), ("n", "n:", F.col("typed_core")), ("n", "o:", F.col("typed_core")), ("f", "n:", F.col("mail_core")), ("o", "o:", F.col("mail_core"))]
+    asks += [("d", "d:", F.col("mail")), ("d", "d:", F.col("typed_host")), ("c", "c:", F.col("city")), ("k", "k:", F.col("country_ref"))]
+    asks += [(f"?{x}", "?", F.when(F.col(c).isNotNull(), F.lit(x))) for x, c in (("d", "mail"), ("c", "city"), ("k", "country_ref"))]
+    wanted = exploded(queries, "query", asks).distinct()
+    found = wanted.join(df, "token", "left")
+    unknown = found.where("df IS NULL AND (slot = 'n' OR slot LIKE 'w%')").select("token").distinct()
+    alike = repairs(unknown, df.where("token LIKE 'w:%' OR token LIKE 'n:%'")).join(df.withColumnRenamed("token", "itoken"), "itoken")
+    known = found.where("df IS NOT NULL").select("query", "slot", "token", "df", F.lit(1.0).alias("sim"))
+    mended = found.where("df IS NULL").drop("df").join(alike, "token", "left").select("query", "slot", F.col("itoken").alias("token"), F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("sim", F.lit(1.0)).alias("sim"))
+    both = known.unionByName(mended)
+    # A mail host that spells the name says less than the name itself.
+    part = F.when(F.col("slot").startswith("?"), 0.0).when(F.col("slot").isin("f", "o"), 0.5).otherwise(1.0)
+    return both.withColumn("gain", part * F.col("sim") * rarity(F.col("df"), n))
+
+
+def brought(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """The slots of a pair of query and entity that a term joins: what each brings and how well it fits."""
+    return asked.join(index, "token").select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
+
+
+def of_slots(rows: DataFrame) -> DataFrame:
+    """One row a pair of query and entity: its score and what the slots say. rows: see brought."""
+    best = rows.groupBy("query", "entity", "slot").agg(F.max("got").alias("got"), F.max("sim").alias("sim"))
+    slot, is_word = F.col("slot"), F.col("slot").startswith("w")
+    has = lambda x: F.max(slot == x)
+    return best.groupBy("query", "entity").agg(
+        F.sum("got").alias("score"), F.sum(F.when(slot == "d", F.col("got")).otherwise(0.0)).alias("host"), F.sum(F.when(is_word, F.col("sim")).otherwise(0.0)).alias("words_fit"),
+        F.coalesce(F.max(F.when(slot == "n", F.col("sim"))), F.lit(0.0)).alias("whole_fit"), has("d").alias("mail_same"), has("f").alias("fits"), has("c").alias("city_same"), has("k").alias("country_same"),
+        has("?d").alias("has_domain"), has("?c").alias("has_city"), has("?k").alias("has_country"),
+    )
+
+
+def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light: int = LIGHT) -> DataFrame:
+    """The TOP best entities of every query with their features (of_slots), exactly; see the head of the module.
+
+    Entities that fall behind the best by more than a full gap, with and without the host, are left out.
+    Entities that share no name, name-like host or host with a query are no candidates, whatever place they share.
+    """
+    asked = stored(asked_terms(queries, df, n).repartition("query"), "asked")
+    most = 1 + K1
+    telling = F.col("slot").startswith("w") | F.col("slot").isin("n", "f", "o", "d")
+    rare = F.col("df") <= light
+    # What frequent terms can bring at most, and what of the name they can fit.
+    per_slot = asked.groupBy("query", "slot").agg(
+        F.max("gain").alias("gain"), F.coalesce(F.max(F.when(~rare & F.col("token").isNotNull(), F.col("gain"))), F.lit(0.0)).alias("common"), F.max(telling & ~rare & F.col("token").isNotNull()).alias("open")
+    )
+    bounds = per_slot.groupBy("query").agg(
+        (F.sum("gain") * most).alias("self"), (SATURATED + most * F.sum(F.when(F.col("slot") == "d", F.col("gain")).otherwise(0.0))).alias("margin"), (F.sum(F.when(telling, F.col("common")).when(F.col("slot").isin("c", "k"), F.col("gain")).otherwise(0.0)) * most).alias("rest"), F.max("open").alias("open"),
+        F.coalesce(F.max(F.col("open") & F.col("slot").isin("n", "f", "o", "d")), F.lit(False)).alias("alone"), F.sum(F.when(F.col("open") & F.col("slot").startswith("w"), 1.0).otherwise(0.0)).alias("common_words"), F.sum(F.when(F.col("slot").startswith("w"), 1.0).otherwise(0.0)).alias("n_words"),
+    )
+    found = brought(asked.where(telling & rare), index).repartition("query")
+    sums = found.groupBy("query", "entity", "slot").agg(F.max("got").alias("got")).groupBy("query", "entity").agg(F.sum("got").alias("light"))
+    # A candidate that even all frequent terms cannot bring within a full gap of the best one, whether the host counts
+    # or not, changes nothing.
+    lead = sums.groupBy("query").agg(F.max("light").alias("lead"))
+    near = sums.join(lead, "query").join(bounds.select("query", "rest", "margin"), "query").where(F.col("light") + F.col("rest") > F.col("lead") - F.col("margin")).select("query", "entity")
+    looked_up = near.join(asked.where("token IS NOT NULL").where(~(telling & rare)), "query").join(index, ["entity", "token"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
+    direct = stored(of_slots(found.join(near, ["query", "entity"], "left_semi").unionByName(looked_up).repartition("query")), "candidates")
+    # Queries that an entity with nothing but frequent terms could still matter to.
+    ahead = direct.groupBy("query").agg(F.max("score").alias("ahead"))
+    able = F.col("alone") | (F.col("common_words") >= NAME_FLOOR * F.col("n_words"))
+    waiting = bounds.where("open").join(ahead, "query", "left").where(F.coalesce(F.col("rest") > F.col("ahead") - F.col("margin"), able)).select("query")
+    common = asked.where("token IS NOT NULL").where(~(telling & rare)).join(waiting, "query", "left_semi")
+    sets = common.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("slot", "token", "sim", "gain"))).alias("terms")).select("query", "terms", F.md5(F.to_json("terms")).alias("set"))
+    sets = stored(sets, "sets")
+    each = sets.groupBy("set").agg(F.first("terms").alias("terms")).select(F.col("set").alias("query"), F.explode("terms").alias("t")).select("query", "t.*")
+    holders = brought(each.where(telling), index).select("query", "entity").distinct()
+    places = holders.join(each.where(~telling), "query").join(index, ["entity", "token"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
+    shared = of_slots(brought(each.where(telling), index).unionByName(places))
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "entity")
+    shared = shared.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= TOP).drop("rank").withColumnRenamed("query", "set")
+    more = sets.select("query", "set").join(shared, "set").drop("set")
+    # An entity met both ways keeps its full score.
+    both = direct.unionByName(more.join(direct.select("query", "entity"), ["query", "entity"], "left_anti").select(direct.columns))
+    ranked = both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= TOP)
+    ranked = ranked.withColumn("ahead", F.max("score").over(Window.partitionBy("query"))).join(bounds.select("query", "self", "n_words", "margin"), "query")
+    return ranked.where(F.col("score") > F.col("ahead") - F.col("margin")).drop("ahead", "margin")
+
+
+def judged(top: DataFrame, queries: DataFrame) -> DataFrame:
+    """The pairs of top_pairs with FEATURES, has_mail and mutual.
+
+    gap: a pair's score without its host, less the best of the query's other entities. mutual: the entity is the
+    query's nearest, and no query with another nearest entity is nearer to it, by the share of a query's full score.
+    """
+    base = F.col("score") - F.col("host")
+    per = top.groupBy("query").agg(F.array_sort(F.collect_list(-base)).alias("bases"))  # TOP at most
+    p = top.join(per, "query").join(queries.select("query", F.col("mail").isNotNull().alias("has_mail"), F.col("city").isNotNull().alias("asks_city"), F.col("country_ref").isNotNull().alias("asks_country")), "query")
+    first, second = -F.col("bases")[0], F.coalesce(-F.try_element_at("bases", F.lit(2)), F.lit(0.0))
+    gap = base - F.when(base >= first, second).otherwise(first)
+    near = F.col("score") / F.col("self")
+    flag = lambda c: c.cast("double")
+    p = p.select(
+        "query", "entity", "rank", "has_mail", "has_domain", "mail_same", "fits", "host", near.alias("near"), F.greatest("whole_fit", F.try_divide("words_fit", "n_words"), F.lit(0.0)).alias("name"), flag(F.col("city_same")).alias("city_same"),
+        flag(F.col("asks_city") & F.col("has_city") & ~F.col("city_same")).alias("city_other"), flag(F.col("country_same")).alias("country_same"), flag(F.col("asks_country") & F.col("has_country") & ~F.col("country_same")).alias("country_other"),
+        (F.least(F.greatest(gap, F.lit(-SATURATED)), F.lit(SATURATED)) / SATURATED).alias("gap"),
     )
+    p = stored(p, "judged")
+    rivals = p.where("rank > 1").groupBy("entity").agg(F.max("near").alias("rival"))
+    return p.join(rivals, "entity", "left").withColumn("mutual", (F.col("rank") == 1) & (F.col("near") >= F.coalesce("rival", F.lit(0.0)))).drop("rival", "near")
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.3, ridge: float = 1e-3) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 2_000, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
     """Weights of a logistic regression (the last is the constant), by gradient descent."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -170,106 +309,101 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.3, ridge
     return w
 
 
-# Weights used where fewer than 50 labelled pairs of a kind exist: name, city same, city other, country same, country other, gap, constant.
-DEFAULT = np.array([1.6, 2.6, -0.8, 0.9, -0.7, 0.35, -4.2])
+@dataclass(frozen=True)
+class Calibration:
+    """Log odds of a pair: weights of FEATURES and a constant, and what the mail adds to them.
+
+    unlike: where it differs from a known domain. fitting, unfitting: where no domain is known and it spells the
+    name, or does not. An equal domain adds its rarity.
+    """
+
+    weights: tuple[float, ...] = (4.0, 2.5, -1.5, 0.9, -0.9, 3.0, -5.5)
+    unlike: float = -5.0
+    fitting: float = 2.0
+    unfitting: float = -3.0
 
 
-def calibrate(pairs: DataFrame) -> np.ndarray:
-    """Weights for FEATURES, fitted on pairs with a mail domain and a known domain: equal is a match, else none.
+def calibrate(pairs: DataFrame) -> Calibration:
+    """Fitted on pairs with a mail and a known domain: equal is a match, else none. The standard one below 50 pairs.
 
     At most LABELLED pairs are used, those with the least hash of their ids, so the same at every run.
     """
-    some = pairs.where("has_mail AND has_domain").select(F.col("mail_same").cast("double").alias("y"), *FEATURES, F.xxhash64("query", "entity").alias("h")).orderBy("h").limit(LABELLED)
-    rows = some.select("y", *FEATURES).toPandas().to_numpy(float)
-    if len(rows) < 50 or rows[:, 0].sum() < 25 or (1 - rows[:, 0]).sum() < 25:
-        return DEFAULT
-    w = fit(rows[:, 1:], rows[:, 0])
+    some = pairs.where("has_mail AND has_domain").select(F.col("mail_same").cast("double").alias("y"), *FEATURES, F.col("fits").cast("double"), F.xxhash64("query", "entity").alias("h")).orderBy("h").limit(LABELLED)
+    rows = np.array(some.select("y", *FEATURES, "fits").collect(), float).reshape(-1, len(FEATURES) + 2)
+    y, x, fits = rows[:, 0], rows[:, 1:-1], rows[:, -1]
+    if len(rows) < 50 or y.sum() < 25 or (1 - y).sum() < 25:
+        return Calibration()
+    w = fit(x, y)
     # Agreement never speaks against a match, nor disagreement for it.
     sign = np.array([1, 1, -1, 1, -1, 1])
     w[:-1] = np.where(w[:-1] * sign > 0, w[:-1], 0.0)
-    return w
+    sure = x @ w[:-1] + w[-1] > 2
+    share = lambda hits, of: (float(hits.sum()) + 1) / (float(of.sum()) + 2)
+    same = share(sure & (y > 0), sure)
+    named = x[:, 0] >= NAME_FLOOR
+    a, b = share(named & (y > 0) & (fits > 0), named & (y > 0)), share(named & (y == 0) & (fits > 0), named & (y == 0))
+    return Calibration(tuple(map(float, w)), math.log(1 - same), max(0.0, math.log(a / b)), min(0.0, math.log((1 - a) / (1 - b))))
 
 
-def scored_pairs(targets: DataFrame, people: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs of query and entity with features and confidence, people rows with their query, target rows with their entity)."""
-    t = stored(entities(prepared_targets(targets)), "entities")
-    places = countries(t.select("country").unionByName(people.select("country")), reference)
-    places = stored(places.where("country_ref > 0"), "countries")  # distinct spellings
-    docs = with_parts(t.join(places, "country", "left")).groupBy("entity").agg(
-        F.collect_set("dkey").alias("domains"), F.collect_set(F.when(F.col("whole").isNotNull(), F.struct(*PARTS))).alias("names"), F.collect_set("city").alias("cities"), F.collect_set("country_ref").alias("countries")
-    )
-    docs = stored(docs, "docs")
+def confidence(c: Calibration) -> Column:
+    """The logistic function of a pair's log odds."""
+    z = F.lit(c.weights[-1])
+    for f, x in zip(FEATURES, c.weights):
+        z = z + F.col(f) * x
+    mail = F.when(F.col("mail_same"), F.col("host")).when(F.col("has_mail") & F.col("has_domain"), F.lit(c.unlike)).when(F.col("has_mail"), F.when(F.col("fits"), F.lit(c.fitting)).otherwise(F.lit(c.unfitting))).otherwise(0.0)
+    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-(z + mail))), 4)
+
+
+@dataclass(frozen=True)
+class Matches:
+    """queries: (query, entity, confidence) of accepted matches, one entity a query at most. people: (salesnav_row_id,
+    query); targets: (aiark_row_id, entity): which rows they stand for."""
 
+    queries: DataFrame
+    people: DataFrame
+    targets: DataFrame
+
+
+def typed_profiles(people: DataFrame, places: DataFrame) -> DataFrame:
+    """row_id, query and what the query is made of: mail host, words, typed host, city, country_ref."""
     mail = F.lower(F.regexp_extract(K.blank_to_null(F.col("email")), r"@([^@\s>]+)\s*>?$", 1))
-    q = people.where("row_id IS NOT NULL").select("row_id", K.host(mail).alias("mail"), words_of(F.col("company")).alias("words"), K.host(F.when(F.col("company").rlike(r"^\S+\.\S+$"), F.col("company"))).alias("typed_host"), K.place_key(F.col("city")).alias("city"), "country").join(places, "country", "left").drop("country")
+    q = people.where("row_id IS NOT NULL").select(
+        "row_id", K.host(mail).alias("mail"), words_of(F.col("company")).alias("words"), K.host(F.when(F.col("company").rlike(r"^\S+\.\S+$"), F.col("company"))).alias("typed_host"), K.place_key(F.col("city")).alias("city"), "country"
+    ).join(places, "country", "left").drop("country")
     # Hosts of private mail: many employers, hardly any of which shows in the host.
     shows = F.coalesce(F.exists("words", lambda w: (F.length(w) >= 4) & F.contains(F.col("mail"), F.substring(w, 1, 4))), F.lit(False))
-    private = q.where("mail IS NOT NULL AND words IS NOT NULL").groupBy("mail").agg(F.count_distinct("words").alias("names"), F.avg(shows.cast("double")).alias("share")).where("names >= 3 AND share < 0.25").select("mail", F.lit(True).alias("private"))
+    names = q.where("mail IS NOT NULL AND words IS NOT NULL").groupBy("mail", "words").agg(F.count("*").alias("n"), F.sum(shows.cast("int")).alias("shown"))
+    private = names.groupBy("mail").agg(F.count("*").alias("names"), (F.sum("shown") / F.sum("n")).alias("share")).where("names >= 3 AND share < 0.25").select("mail", F.lit(True).alias("private"))
     q = q.join(private, "mail", "left").withColumn("mail", F.when(F.col("private").isNull(), F.col("mail"))).drop("private")
-    q = q.withColumn("query", F.md5(F.to_json(F.struct("mail", "words", "typed_host", "city", "country_ref"))))
-    q = stored(q, "people")
-    queries = q.groupBy("query").agg(*[F.first(c).alias(c) for c in ("mail", "words", "typed_host", "city", "country_ref")])
-    queries = with_parts(queries).drop("words").withColumns({"mail_core": core_of(F.col("mail")), "typed_core": core_of(F.col("typed_host"))})
-
-    # The inverted index: names with places, domains, and names that only a domain shows.
-    term = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(kind), c))
-    named = docs.select("entity", F.explode("names").alias("n"), F.when(F.size("cities") > 0, F.col("cities")).alias("cities")).select("entity", "n.*", F.explode_outer("cities").alias("city"))
-    owned = docs.select("entity", F.explode("domains").alias("d")).select("entity", F.array(term("d:", F.col("d")), term("n:", core_of(F.col("d")))).alias("t"))
-    index = named.select("entity", name_terms(False).alias("t")).unionByName(owned).select("entity", F.explode("t").alias("term")).distinct()
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    hosts = F.array_compact(F.array(term("d:", F.col("mail")), term("n:", F.col("mail_core")), term("d:", F.col("typed_host")), term("n:", F.col("typed_core"))))
-    asked = queries.select("query", F.explode(F.concat(hosts, F.coalesce(name_terms(True), F.array().cast("array<string>")))).alias("term")).distinct()
-    n = docs.count()
-    # Every attribute holds a value once, so BM25's frequency and length factors are 1 and its rarity remains.
-    idf = lambda c: F.log1p((F.lit(float(n)) - c + 0.5) / (c + 0.5))
-    weighed = asked.join(df.select("term", idf(F.col("df")).alias("idf")), "term").join(index, "term")
-    by_host = F.col("term").startswith("d:")
-    pairs = weighed.groupBy("query", "entity").agg(F.coalesce(F.max(F.when(by_host, F.col("idf"))), F.lit(0.0)).alias("host_idf"), F.coalesce(F.max(F.when(~by_host, F.col("idf"))), F.lit(0.0)).alias("name_idf"))
-    held = docs.select(F.explode("cities").alias("city")).groupBy("city").agg(idf(F.count("*")).alias("city_idf"))
-    there = docs.select(F.explode("countries").alias("country_ref")).groupBy("country_ref").agg(idf(F.count("*")).alias("country_idf"))
-    placed = queries.join(held, "city", "left").join(there, "country_ref", "left").na.fill(0.0, ["city_idf", "country_idf"])
-    p = pairs.join(placed, "query").join(docs, "entity")
-    mail_same = F.coalesce(F.array_contains("domains", F.col("mail")) | F.array_contains("domains", F.col("typed_host")), F.lit(False))
-    wholes = F.transform("names", lambda n: n["whole"])
-    typed, fits = F.array_contains(wholes, F.col("typed_core")), F.array_contains(wholes, F.col("mail_core"))
-    city = F.array_contains("cities", F.col("city"))
-    country = F.array_contains("countries", F.col("country_ref"))
-    known = lambda v, vs: F.col(v).isNotNull() & (F.size(vs) > 0)
-    p = p.select(
-        "query", "entity", "host_idf", "name_idf", "city_idf", "country_idf", F.col("mail").isNotNull().alias("has_mail"), (F.size("domains") > 0).alias("has_domain"), mail_same.alias("mail_same"),
-        F.coalesce(fits, F.lit(False)).alias("mail_fits"), F.when(F.coalesce(typed, F.lit(False)), F.lit(3.0)).otherwise(F.coalesce(F.array_max(F.transform("names", name_level)), F.lit(0.0))).alias("name"),
-        F.coalesce(city, F.lit(False)).cast("double").alias("city_same"), (known("city", "cities") & ~city).cast("double").alias("city_other"),
-        F.coalesce(country, F.lit(False)).cast("double").alias("country_same"), (known("country_ref", "countries") & ~country).cast("double").alias("country_other"),
-    )
-    # A name that fits in part earns its share of the rarity, a mail host that spells the name half of it.
-    p = p.withColumn("bm25", F.col("mail_same").cast("double") * F.col("host_idf") + F.col("name") / 3 * F.col("name_idf") + F.col("city_same") * F.col("city_idf") + F.col("country_same") * F.col("country_idf") + (~F.col("mail_same") & F.col("mail_fits")).cast("double") * F.col("name_idf") / 2)
-    p = stored(p, "pairs")
-    w = Window.partitionBy("query").orderBy(F.desc("bm25"), "entity")
-    p = p.withColumn("rank", F.row_number().over(w)).withColumn("best", F.max("bm25").over(Window.partitionBy("query")))
-    second = F.max(F.when(F.col("rank") == 2, F.col("bm25"))).over(Window.partitionBy("query"))
-    # An entity may have any number of queries: its best score comes from an aggregate, not from a window.
-    p = p.join(p.groupBy("entity").agg(F.max("bm25").alias("top")), "entity")
-    p = p.withColumn("gap", F.least(F.lit(5.0), F.when(F.col("rank") == 1, F.col("bm25") - F.coalesce(second, F.lit(0.0))).otherwise(F.col("bm25") - F.col("best")))).withColumn("mutual", (F.col("rank") == 1) & (F.col("bm25") >= NEAR * F.col("top")))
-    p = stored(p.drop("best", "top"), "scored")
-    weights = calibrate(p)
-    z = F.lit(float(weights[-1]))
-    for f, x in zip(FEATURES, weights):
-        z = z + F.col(f) * float(x)
-    conf = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    against = F.col("has_mail") & F.col("has_domain") & ~F.col("mail_same")
-    unsure = F.col("has_mail") & ~F.col("has_domain") & ~F.col("mail_fits") & (F.col("city_same") == 0)
-    conf = F.when(F.col("mail_same"), F.greatest(conf, F.lit(0.97))).when(against | unsure, F.least(conf, F.lit(0.1))).otherwise(conf)
-    return p.withColumn("confidence", F.round(conf, 4)), q, t
-
-
-def match(targets: DataFrame, people: DataFrame, reference: DataFrame) -> DataFrame:
-    """aiark_row_id, salesnav_row_id, confidence of every pair of rows that concern the same company.
+    return q.withColumn("query", F.xxhash64(F.to_json(F.struct("mail", "words", "typed_host", "city", "country_ref"))))
+
+
+def match(targets: DataFrame, people: DataFrame, reference: DataFrame, light: int = LIGHT) -> Matches:
+    """The companies of targets that people's typed employers mean.
 
     Rows without a name, domain and mail match nothing; null places neither agree nor disagree; of several entities
-    alike in everything (no gap) none is chosen; repeated rows all come out. Empty tables give no pairs.
+    alike in everything (no gap) none is chosen; repeated rows stand for one query. Empty tables give no matches.
     """
-    p, q, t = scored_pairs(targets, people, reference)
-    sure = F.col("mail_same") | (F.col("mutual") & (F.col("gap") > 0.01) & (F.col("name") >= 2))
-    good = p.where(sure & (F.col("confidence") >= ACCEPT)).select("query", "entity", "confidence")
-    out = good.join(q.select("query", F.col("row_id").alias("salesnav_row_id")), "query").join(t.select("entity", F.col("row_id").alias("aiark_row_id")), "entity")
+    raw = stored(prepared_targets(targets), "targets")
+    places = countries(raw.select("country").unionByName(people.select("country")), reference).where("country_ref > 0")
+    places = stored(places, "countries")  # distinct spellings
+    t = stored(entities(raw).join(places, "country", "left").drop("country", "lkey"), "entities")
+    q = stored(typed_profiles(people, places), "people")
+    queries = q.groupBy("query").agg(*[F.first(c).alias(c) for c in ("mail", "words", "typed_host", "city", "country_ref")]).withColumns({"mail_core": core_of(F.col("mail")), "typed_core": core_of(F.col("typed_host"))})
+    index, df, n = inverted_index(t)
+    pairs = stored(judged(top_pairs(queries, index, df, n, light), queries), "pairs")
+    scored = pairs.withColumn("confidence", confidence(calibrate(pairs)))
+    fits = F.col("mail_same") | (F.col("name") >= NAME_FLOOR)
+    good = scored.where(F.col("mutual") & fits & (F.col("confidence") >= ACCEPT)).select("query", "entity", "confidence")
+    return Matches(good, q.select(F.col("row_id").alias("salesnav_row_id"), "query"), t.select(F.col("row_id").alias("aiark_row_id"), "entity"))
+
+
+def matched_pairs(m: Matches) -> DataFrame:
+    """aiark_row_id, salesnav_row_id, confidence of every pair of rows that concern the same company."""
+    out = m.queries.join(m.people, "query").join(m.targets, "entity")
     return out.groupBy("aiark_row_id", "salesnav_row_id").agg(F.max("confidence").alias("confidence"))
+
+
+def matched_people(m: Matches) -> DataFrame:
+    """salesnav_row_id, entity (the least row of the company in the other table), confidence; one row a matched row."""
+    return m.people.join(m.queries, "query").groupBy("salesnav_row_id").agg(F.max(F.struct("confidence", "entity")).alias("m")).select("salesnav_row_id", "m.entity", "m.confidence")

@@ -22,9 +22,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_dedupe.replay(table(spark, sf_dir, "step1_inserts"))
 
 
+def _matches(spark: SparkSession, sf_dir: str) -> entity_match.Matches:
+    return entity_match.match(table(spark, sf_dir, "enrichment_aiark"), table(spark, sf_dir, "salesnav_people"), table(spark, sf_dir, "ref_items"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aiark, people = table(spark, sf_dir, "enrichment_aiark"), table(spark, sf_dir, "salesnav_people")
-    return entity_match.match(aiark, people, table(spark, sf_dir, "ref_items")).drop("confidence")
+    return entity_match.matched_pairs(_matches(spark, sf_dir)).drop("confidence")
+
+
+def p5_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.matched_people(_matches(spark, sf_dir))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +46,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nonprose.label_pages(table(spark, sf_dir, "documents")).where("flagged").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_companies": p5_companies, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
