@@ -232,7 +232,7 @@ def of_slots(rows: DataFrame) -> DataFrame:
 def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light: int = LIGHT) -> DataFrame:
     """The TOP best entities of every query with their features (of_slots), exactly; see the head of the module.
 
-    Entities that fall behind the best by more than a full gap, with and without the host, are left out.
+    Entities that fall behind the best by more than a full gap, even where its host does not count, are left out.
     Entities that share no name, name-like host or host with a query are no candidates, whatever place they share.
     """
     asked = stored(asked_terms(queries, df, n).repartition("query"), "asked")
@@ -255,25 +255,26 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
     near = sums.join(lead, "query").join(bounds.select("query", "rest", "margin"), "query").where(F.col("light") + F.col("rest") > F.col("lead") - F.col("margin")).select("query", "entity")
     looked_up = near.join(asked.where("token IS NOT NULL").where(~(telling & rare)), "query").join(index, ["entity", "token"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
     direct = stored(of_slots(found.join(near, ["query", "entity"], "left_semi").unionByName(looked_up).repartition("query")), "candidates")
-    # Queries that an entity with nothing but frequent terms could still matter to.
-    ahead = direct.groupBy("query").agg(F.max("score").alias("ahead"))
+    # Queries that an entity with nothing but frequent terms could still matter to: it has no host, nor needs the best.
+    ahead = direct.groupBy("query").agg(F.max_by(F.col("score") - F.col("host"), F.struct("score", -F.col("entity"))).alias("ahead"))
     able = F.col("alone") | (F.col("common_words") >= NAME_FLOOR * F.col("n_words"))
-    waiting = bounds.where("open").join(ahead, "query", "left").where(F.coalesce(F.col("rest") > F.col("ahead") - F.col("margin"), able)).select("query")
+    waiting = bounds.where("open").join(ahead, "query", "left").where(F.coalesce(F.col("rest") > F.col("ahead") - SATURATED, able)).select("query")
     common = asked.where("token IS NOT NULL").where(~(telling & rare)).join(waiting, "query", "left_semi")
     sets = common.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("slot", "token", "sim", "gain"))).alias("terms")).select("query", "terms", F.md5(F.to_json("terms")).alias("set"))
     sets = stored(sets, "sets")
     each = sets.groupBy("set").agg(F.first("terms").alias("terms")).select(F.col("set").alias("query"), F.explode("terms").alias("t")).select("query", "t.*")
-    holders = brought(each.where(telling), index).select("query", "entity").distinct()
+    held = stored(brought(each.where(telling), index), "holders")
+    holders = held.select("query", "entity").distinct()
     places = holders.join(each.where(~telling), "query").join(index, ["entity", "token"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
-    shared = of_slots(brought(each.where(telling), index).unionByName(places))
+    shared = of_slots(held.unionByName(places))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "entity")
     shared = shared.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= TOP).drop("rank").withColumnRenamed("query", "set")
     more = sets.select("query", "set").join(shared, "set").drop("set")
     # An entity met both ways keeps its full score.
     both = direct.unionByName(more.join(direct.select("query", "entity"), ["query", "entity"], "left_anti").select(direct.columns))
     ranked = both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= TOP)
-    ranked = ranked.withColumn("ahead", F.max("score").over(Window.partitionBy("query"))).join(bounds.select("query", "self", "n_words", "margin"), "query")
-    return ranked.where(F.col("score") > F.col("ahead") - F.col("margin")).drop("ahead", "margin")
+    ranked = ranked.withColumn("ahead", F.max_by(F.col("score") - F.col("host"), F.struct("score", -F.col("entity"))).over(Window.partitionBy("query"))).join(bounds.select("query", "self", "n_words"), "query")
+    return ranked.where(F.col("score") > F.col("ahead") - SATURATED).drop("ahead")
 
 
 def judged(top: DataFrame, queries: DataFrame) -> DataFrame:
