@@ -156,7 +156,7 @@ def rarity(df: Column, n: int) -> Column:
 
 
 def inverted_index(t: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(entity, token, sat of every entity; token, df; the number of entities).
+    """(entity, term, sat of every entity; token, df; the number of entities). A term is the hash of a token.
 
     t: target rows with entity, words, dkey, city, country_ref. A term's frequency is the number of rows that state
     it; the length of its field is the number of rows that state the field, and the normalisation by it is full. The
@@ -169,9 +169,9 @@ def inverted_index(t: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     tfn = F.col("tf") * F.col("avgdl") / F.col("dl")
     share = tf.join(length, ["entity", "field"]).join(F.broadcast(size), "field").select("entity", "token", (tfn * (1 + K1) / (tfn + K1)).alias("sat"))
     known = length.where("field IN ('d', 'c', 'k')").select("entity", F.concat(F.lit("?"), "field").alias("token"), F.lit(0.0).alias("sat"))
-    index = stored(share.unionByName(known), "index")
+    index = stored(share.unionByName(known).withColumn("term", F.xxhash64("token")), "index")
     df = stored(index.groupBy("token").agg(F.count("*").alias("df")), "rarity")
-    return index, df, t.agg(F.count_distinct("entity")).first()[0]
+    return index.drop("token"), df, t.agg(F.count_distinct("entity")).first()[0]
 
 
 def repairs(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -187,16 +187,17 @@ def repairs(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     deleted = F.coalesce(F.when(size >= 6, keyed("x", "token", K.one_deletions(bare("token")))), none)
     begun = F.when(word & (size >= 4), F.array(F.concat(F.lit("p"), "token")))
     begins = F.when(word & (size > 4), keyed("p", "token", F.transform(F.sequence(F.lit(4), size - 1), lambda i: F.substring("token", F.lit(3), i))))
-    a = unknown.select("token", F.explode(F.concat(deleted, F.coalesce(begun, none))).alias("key"))
-    b = vocabulary.select(F.col("token").alias("itoken"), F.explode(F.concat(deleted, F.coalesce(begins, none))).alias("key"))
+    hashed = lambda c: c.select("*", F.xxhash64("key").alias("h"), F.col("key").startswith("p").alias("by_start")).drop("key")
+    a = hashed(unknown.select("token", F.explode(F.concat(deleted, F.coalesce(begun, none))).alias("key"))).drop("by_start")
+    b = hashed(vocabulary.select(F.col("token").alias("itoken"), F.explode(F.concat(deleted, F.coalesce(begins, none))).alias("key")))
     d = F.levenshtein("token", "itoken")
     long = F.greatest(F.length("token"), F.length("itoken")) - 2
-    sim = F.when((d <= 2) & (long >= 7), 1 - d / long).when(F.col("key").startswith("p"), (F.length("token") - 2) / long)
-    return a.join(b, "key").select("token", "itoken", sim.alias("sim")).where("sim IS NOT NULL").groupBy("token", "itoken").agg(F.max("sim").alias("sim"))
+    sim = F.when((d <= 2) & (long >= 7), 1 - d / long).when(F.col("by_start") & F.startswith("itoken", "token"), (F.length("token") - 2) / long)
+    return a.join(b, "h").select("token", "itoken", sim.alias("sim")).where("sim IS NOT NULL").groupBy("token", "itoken").agg(F.max("sim").alias("sim"))
 
 
 def asked_terms(queries: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """query, slot, token (of the index; null where it has none alike), df, gain (what a full fit brings), sim."""
+    """query, slot, term (of the index; null where it has none alike), df, gain (what a full fit brings), sim."""
     asks: Terms = [("n", "n:", whole()), ("n", "s:", any_order()), ("n", "o:", whole()), ("n", "n:", F.col("typed_core")), ("n", "o:", F.col("typed_core")), ("f", "n:", F.col("mail_core")), ("o", "o:", F.col("mail_core"))]
     asks += [("d", "d:", F.col("mail")), ("d", "d:", F.col("typed_host")), ("c", "c:", F.col("city")), ("k", "k:", F.col("country_ref"))]
     asks += [(f"?{x}", "?", F.when(F.col(c).isNotNull(), F.lit(x))) for x, c in (("d", "mail"), ("c", "city"), ("k", "country_ref"))]
@@ -204,8 +205,8 @@ def asked_terms(queries: DataFrame, df: DataFrame, n: int) -> DataFrame:
     found = wanted.join(df, "token", "left")
     unknown = found.where("df IS NULL AND (slot = 'n' OR slot LIKE 'w%')").select("token").distinct()
     alike = repairs(unknown, df.where("token LIKE 'w:%' OR token LIKE 'n:%'")).join(df.withColumnRenamed("token", "itoken"), "itoken")
-    known = found.where("df IS NOT NULL").select("query", "slot", "token", "df", F.lit(1.0).alias("sim"))
-    mended = found.where("df IS NULL").drop("df").join(alike, "token", "left").select("query", "slot", F.col("itoken").alias("token"), F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("sim", F.lit(1.0)).alias("sim"))
+    known = found.where("df IS NOT NULL").select("query", "slot", F.xxhash64("token").alias("term"), "df", F.lit(1.0).alias("sim"))
+    mended = found.where("df IS NULL").drop("df").join(alike, "token", "left").select("query", "slot", F.when(F.col("itoken").isNotNull(), F.xxhash64("itoken")).alias("term"), F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("sim", F.lit(1.0)).alias("sim"))
     both = known.unionByName(mended)
     # A mail host that spells the name says less than the name itself.
     part = F.when(F.col("slot").startswith("?"), 0.0).when(F.col("slot").isin("f", "o"), 0.5).otherwise(1.0)
@@ -214,7 +215,7 @@ def asked_terms(queries: DataFrame, df: DataFrame, n: int) -> DataFrame:
 
 def brought(asked: DataFrame, index: DataFrame) -> DataFrame:
     """The slots of a pair of query and entity that a term joins: what each brings and how well it fits."""
-    return asked.join(index, "token").select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
+    return asked.join(index, "term").select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
 
 
 def of_slots(rows: DataFrame) -> DataFrame:
@@ -223,16 +224,27 @@ def of_slots(rows: DataFrame) -> DataFrame:
     slot, is_word = F.col("slot"), F.col("slot").startswith("w")
     has = lambda x: F.max(slot == x)
     return best.groupBy("query", "entity").agg(
-        F.sum("got").alias("score"), F.sum(F.when(slot == "d", F.col("got")).otherwise(0.0)).alias("host"), F.sum(F.when(is_word, F.col("sim")).otherwise(0.0)).alias("words_fit"),
+        F.round(F.sum("got"), 6).alias("score"), F.round(F.sum(F.when(slot == "d", F.col("got")).otherwise(0.0)), 6).alias("host"), F.sum(F.when(is_word, F.col("sim")).otherwise(0.0)).alias("words_fit"),
         F.coalesce(F.max(F.when(slot == "n", F.col("sim"))), F.lit(0.0)).alias("whole_fit"), has("d").alias("mail_same"), has("f").alias("fits"), has("c").alias("city_same"), has("k").alias("country_same"),
         has("?d").alias("has_domain"), has("?c").alias("has_city"), has("?k").alias("has_country"),
     )
 
 
+def name_fit() -> Column:
+    """The share of a typed name that an entity fits: its words, or the name as a whole."""
+    return F.greatest("whole_fit", F.try_divide("words_fit", "n_words"), F.lit(0.0))
+
+
+def acceptable() -> Column:
+    """Whether an entity has a query's host or enough of its name."""
+    return F.col("mail_same") | (name_fit() >= NAME_FLOOR)
+
+
 def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light: int = LIGHT) -> DataFrame:
     """The TOP best entities of every query with their features (of_slots), exactly; see the head of the module.
 
-    Entities that fall behind the best by more than a full gap, even where its host does not count, are left out.
+    Entities that fall behind the best by more than a full gap, even where its host does not count, are left out; so are
+    queries whose best entity has neither the host nor enough of the name.
     Entities that share no name, name-like host or host with a query are no candidates, whatever place they share.
     """
     asked = stored(asked_terms(queries, df, n).repartition("query"), "asked")
@@ -241,31 +253,32 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
     rare = F.col("df") <= light
     # What frequent terms can bring at most, and what of the name they can fit.
     per_slot = asked.groupBy("query", "slot").agg(
-        F.max("gain").alias("gain"), F.coalesce(F.max(F.when(~rare & F.col("token").isNotNull(), F.col("gain"))), F.lit(0.0)).alias("common"), F.max(telling & ~rare & F.col("token").isNotNull()).alias("open")
+        F.max("gain").alias("gain"), F.coalesce(F.max(F.when(~rare & F.col("term").isNotNull(), F.col("gain"))), F.lit(0.0)).alias("common"), F.max(telling & ~rare & F.col("term").isNotNull()).alias("open")
     )
     bounds = per_slot.groupBy("query").agg(
         (F.sum("gain") * most).alias("self"), (SATURATED + most * F.sum(F.when(F.col("slot") == "d", F.col("gain")).otherwise(0.0))).alias("margin"), (F.sum(F.when(telling, F.col("common")).when(F.col("slot").isin("c", "k"), F.col("gain")).otherwise(0.0)) * most).alias("rest"), F.max("open").alias("open"),
         F.coalesce(F.max(F.col("open") & F.col("slot").isin("n", "f", "o", "d")), F.lit(False)).alias("alone"), F.sum(F.when(F.col("open") & F.col("slot").startswith("w"), 1.0).otherwise(0.0)).alias("common_words"), F.sum(F.when(F.col("slot").startswith("w"), 1.0).otherwise(0.0)).alias("n_words"),
     )
     found = brought(asked.where(telling & rare), index).repartition("query")
-    sums = found.groupBy("query", "entity", "slot").agg(F.max("got").alias("got")).groupBy("query", "entity").agg(F.sum("got").alias("light"))
+    sums = found.groupBy("query", "entity", "slot").agg(F.max("got").alias("got")).groupBy("query", "entity").agg(F.round(F.sum("got"), 6).alias("light"))
     # A candidate that even all frequent terms cannot bring within a full gap of the best one, whether the host counts
     # or not, changes nothing.
     lead = sums.groupBy("query").agg(F.max("light").alias("lead"))
     near = sums.join(lead, "query").join(bounds.select("query", "rest", "margin"), "query").where(F.col("light") + F.col("rest") > F.col("lead") - F.col("margin")).select("query", "entity")
-    looked_up = near.join(asked.where("token IS NOT NULL").where(~(telling & rare)), "query").join(index, ["entity", "token"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
+    looked_up = near.join(asked.where("term IS NOT NULL").where(~(telling & rare)), "query").join(index, ["entity", "term"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
     direct = stored(of_slots(found.join(near, ["query", "entity"], "left_semi").unionByName(looked_up).repartition("query")), "candidates")
-    # Queries that an entity with nothing but frequent terms could still matter to: it has no host, nor needs the best.
-    ahead = direct.groupBy("query").agg(F.max_by(F.col("score") - F.col("host"), F.struct("score", -F.col("entity"))).alias("ahead"))
+    # Queries that an entity with nothing but frequent terms could still matter to: it may be acceptable by itself, or
+    # be too near to an acceptable best one.
+    ahead = direct.join(bounds.select("query", "n_words"), "query").groupBy("query").agg(F.max_by(F.struct((F.col("score") - F.col("host")).alias("base"), acceptable().alias("fit")), F.struct("score", -F.col("entity"))).alias("ahead"))
     able = F.col("alone") | (F.col("common_words") >= NAME_FLOOR * F.col("n_words"))
-    waiting = bounds.where("open").join(ahead, "query", "left").where(F.coalesce(F.col("rest") > F.col("ahead") - SATURATED, able)).select("query")
-    common = asked.where("token IS NOT NULL").where(~(telling & rare)).join(waiting, "query", "left_semi")
-    sets = common.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("slot", "token", "sim", "gain"))).alias("terms")).select("query", "terms", F.md5(F.to_json("terms")).alias("set"))
+    waiting = bounds.where("open").join(ahead, "query", "left").where(able | F.coalesce(F.col("ahead.fit") & (F.col("rest") > F.col("ahead.base") - SATURATED), F.lit(False))).select("query")
+    common = asked.where("term IS NOT NULL").where(~(telling & rare)).join(waiting, "query", "left_semi")
+    sets = common.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("slot", "term", "sim", "gain"))).alias("terms")).select("query", "terms", F.md5(F.to_json("terms")).alias("set"))
     sets = stored(sets, "sets")
     each = sets.groupBy("set").agg(F.first("terms").alias("terms")).select(F.col("set").alias("query"), F.explode("terms").alias("t")).select("query", "t.*")
     held = stored(brought(each.where(telling), index), "holders")
     holders = held.select("query", "entity").distinct()
-    places = holders.join(each.where(~telling), "query").join(index, ["entity", "token"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
+    places = holders.join(each.where(~telling), "query").join(index, ["entity", "term"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
     shared = of_slots(held.unionByName(places))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "entity")
     shared = shared.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= TOP).drop("rank").withColumnRenamed("query", "set")
@@ -273,8 +286,9 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
     # An entity met both ways keeps its full score.
     both = direct.unionByName(more.join(direct.select("query", "entity"), ["query", "entity"], "left_anti").select(direct.columns))
     ranked = both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= TOP)
-    ranked = ranked.withColumn("ahead", F.max_by(F.col("score") - F.col("host"), F.struct("score", -F.col("entity"))).over(Window.partitionBy("query"))).join(bounds.select("query", "self", "n_words"), "query")
-    return ranked.where(F.col("score") > F.col("ahead") - SATURATED).drop("ahead")
+    ranked = ranked.join(bounds.select("query", "self", "n_words"), "query")
+    first = F.max(F.when(F.col("rank") == 1, F.struct((F.col("score") - F.col("host")).alias("base"), acceptable().alias("fit")))).over(Window.partitionBy("query"))
+    return ranked.withColumn("ahead", first).where(F.col("ahead.fit") & (F.col("score") > F.col("ahead.base") - SATURATED)).drop("ahead")
 
 
 def judged(top: DataFrame, queries: DataFrame) -> DataFrame:
@@ -288,10 +302,10 @@ def judged(top: DataFrame, queries: DataFrame) -> DataFrame:
     p = top.join(per, "query").join(queries.select("query", F.col("mail").isNotNull().alias("has_mail"), F.col("city").isNotNull().alias("asks_city"), F.col("country_ref").isNotNull().alias("asks_country")), "query")
     first, second = -F.col("bases")[0], F.coalesce(-F.try_element_at("bases", F.lit(2)), F.lit(0.0))
     gap = base - F.when(base >= first, second).otherwise(first)
-    near = F.col("score") / F.col("self")
+    near = F.round(F.col("score") / F.col("self"), 6)
     flag = lambda c: c.cast("double")
     p = p.select(
-        "query", "entity", "rank", "has_mail", "has_domain", "mail_same", "fits", "host", near.alias("near"), F.greatest("whole_fit", F.try_divide("words_fit", "n_words"), F.lit(0.0)).alias("name"), flag(F.col("city_same")).alias("city_same"),
+        "query", "entity", "rank", "has_mail", "has_domain", "mail_same", "fits", "host", near.alias("near"), name_fit().alias("name"), flag(F.col("city_same")).alias("city_same"),
         flag(F.col("asks_city") & F.col("has_city") & ~F.col("city_same")).alias("city_other"), flag(F.col("country_same")).alias("country_same"), flag(F.col("asks_country") & F.col("has_country") & ~F.col("country_same")).alias("country_other"),
         (F.least(F.greatest(gap, F.lit(-SATURATED)), F.lit(SATURATED)) / SATURATED).alias("gap"),
     )
