@@ -1,15 +1,18 @@
 """New batches deduplicated against all accepted history, without reprocessing it.
 
-Multi-key sorted-neighbourhood runs. Every accepted row is persisted under several sort keys: its domain, its
-page, and its name together with its domain stem or its domain short of one letter. A run is a set of files
-sorted by key over disjoint key ranges. A new batch is sorted by the same keys and merged with the runs; a
-window holds the entries of one key around the new record, and only candidates within a window are compared.
-Only accepted rows enter the runs, so a domain or page has at most one entry however many copies arrive, and
-runs grow with the companies, not with the imports. Every few batches the runs are merged into one.
-
-Within a batch acceptance follows the order of arrival: a row is accepted when no earlier accepted row matches
-it. That is settled in rounds: rows without an earlier undecided rival are accepted, what matches them is
-rejected, until none is left. No group is ever collected, and exact copies are collapsed before any join.
+Multi-key sorted-neighbourhood runs. An accepted row is persisted under several sort keys: its domain, its page, and
+its name with its city and with its phone. Keys are sorted by their hash, so that ranges of keys are even whatever the
+keys look like; a run is a folder with one sorted part a range. A new batch is sorted by the same keys, split into the
+same ranges and merged with the runs of these ranges alone. A window holds the entries of one key around new records;
+only what stands in a window of a new record is compared. Every few batches the runs are merged into one, with as many
+ranges as their size demands.
+
+What tells a shared host or page from a company's own is kept as counts that can be added up: how often a key came with
+a name. A batch is judged by what was known when it arrived, itself included; nothing of later batches is looked at.
+
+Within a batch acceptance follows the order of arrival: a row is accepted when no earlier accepted row matches it. That
+is settled in rounds over the rows that share a key: rows without an earlier undecided rival are accepted, what matches
+them is rejected, until none is left. No group is ever collected, and exact copies are collapsed before any join.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import keys as K
-from lodestrata.session import scratch, stored
+from lodestrata.session import Scratch, remove, scratch, stored
 
 SHARED_NAMES = 3
 COMPACT_EVERY = 4
+RANGE_ROWS = 200_000  # entries that a range of keys should hold
+FEW_RANGES = 4  # so few are read without asking which of them a batch touches
 PROFILE = ["dkey", "lkey", "name", "city", "phone"]
 COLUMNS = ["record_id", *PROFILE]
-ROW = "record_id bigint, dkey string, lkey string, name string, city string, phone string"
+ENTRY = "key bigint, record_id bigint, dkey string"
+COUNT = "key bigint, name bigint, n bigint, own int"
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -37,38 +43,34 @@ def normalised(rows: DataFrame) -> DataFrame:
     )
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """kind, key of hosts and pages that unrelated companies share: they identify nobody.
+def hashed(kind: str, *parts: Column) -> Column:
+    """The sort key of a kind; null where a part is."""
+    told = parts[0].isNotNull()
+    for p in parts[1:]:
+        told = told & p.isNotNull()
+    return F.when(told, F.xxhash64(F.lit(kind), *parts))
 
-    A key is shared when it stands by three names or more and these are at least half of its rows, or by two
-    names of which one has its own page below the host.
-    """
-    each = rows.select("name", "path", F.explode(F.array(F.struct(F.lit("d").alias("kind"), F.col("dkey").alias("key")), F.struct(F.lit("l").alias("kind"), F.col("lkey").alias("key")))).alias("k"))
-    each = each.select("name", "k.kind", "k.key", ((F.length("path") >= 4) & F.col("path").startswith(F.substring("name", 1, 4)) & (F.col("k.kind") == "d")).cast("int").alias("own")).where("key IS NOT NULL")
-    names = each.groupBy("kind", "key", "name").agg(F.count("*").alias("n"), F.max("own").alias("own"))
-    total = names.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("name").alias("names"), F.max("own").alias("own"))
-    return total.where(f"(names >= {SHARED_NAMES} AND 2 * names >= n) OR (names >= 2 AND own = 1)").select("kind", "key")
 
+def places() -> Column:
+    """The city and the phone of a row, as far as known."""
+    return F.array_compact(F.array(F.concat(F.lit("c:"), F.col("city")), F.concat(F.lit("p:"), F.col("phone"))))
 
-def without_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """The rows with null in place of shared keys. Joins, as the number of shared keys has no bound."""
-    for kind, column in (("d", "dkey"), ("l", "lkey")):
-        some = shared.where(F.col("kind") == kind).select(F.col("key").alias(column), F.lit(True).alias("gone"))
-        rows = rows.join(some, column, "left").withColumn(column, F.when(F.col("gone").isNull(), F.col(column))).drop("gone")
-    return rows
+
+def exact_keys() -> Column:
+    """The keys by which rows are the same without further ado: domain and page."""
+    return F.array_compact(F.array(hashed("d", F.col("dkey")), hashed("l", F.col("lkey"))))
 
 
-def exact_entries(rows: DataFrame) -> DataFrame:
-    """Sort entries by domain and by page."""
-    k = F.array_compact(F.array(F.concat(F.lit("d:"), F.col("dkey")), F.concat(F.lit("l:"), F.col("lkey"))))
-    return rows.withColumn("key", F.explode(k))
+def node_keys(domain: str) -> Column:
+    """The keys of a row's name, place and a domain, by each place."""
+    none = F.array().cast("array<bigint>")
+    return F.when(F.col("name").isNotNull() & F.col(domain).isNotNull(), F.transform(places(), lambda p: F.xxhash64(F.lit("n"), "name", p, domain))).otherwise(none)
 
 
-def near_entries(rows: DataFrame) -> DataFrame:
-    """Sort entries by name and a shortened domain: domains one edit apart, or alike but for the suffix, meet in a window."""
-    short = F.concat(F.array(F.concat(F.lit("*"), K.stem(F.col("dkey")))), K.one_deletions(F.col("dkey")))
-    some = rows.where("dkey IS NOT NULL AND name IS NOT NULL")
-    return some.withColumn("key", F.explode(short)).withColumn("key", F.concat(F.lit("n:"), F.col("name"), F.lit("|"), F.col("key")))
+def window_keys() -> Column:
+    """The keys of a row's name and place, in whose window almost equal domains may stand."""
+    none = F.array().cast("array<bigint>")
+    return F.when(F.col("name").isNotNull() & F.col("dkey").isNotNull(), F.transform(places(), lambda p: F.xxhash64(F.lit("w"), "name", p))).otherwise(none)
 
 
 def almost(x: Column, y: Column) -> Column:
@@ -76,87 +78,179 @@ def almost(x: Column, y: Column) -> Column:
     return F.coalesce((x != y) & ((K.stem(x) == K.stem(y)) | K.one_apart(x, y)), F.lit(False))
 
 
-def same_place(a: str, b: str) -> Column:
-    """Whether the city or the phone agree."""
-    return F.coalesce(F.col(f"{a}.city") == F.col(f"{b}.city"), F.lit(False)) | F.coalesce(F.col(f"{a}.phone") == F.col(f"{b}.phone"), F.lit(False))
+def shortened(domain: Column) -> Column:
+    """What almost equal domains have in common: the stem, or the domain short of one letter."""
+    return F.concat(F.array(F.concat(F.lit("*"), K.stem(domain))), K.one_deletions(domain))
+
 
+def almost_equal(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """on, dkey (of left), other (of right): the almost equal domains with the same columns on, each pair once.
 
-def near_domains(rows: DataFrame) -> DataFrame:
-    """name, dkey, other: the almost equal domains among rows of one name. Each domain of a name is compared once, however many rows hold it."""
-    d = rows.where("dkey IS NOT NULL AND name IS NOT NULL").select("name", "dkey").distinct()
-    many = d.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    e = near_entries(d.join(many, "name", "left_semi")).select("key", "name", "dkey")
-    j = e.join(e.select("key", F.col("dkey").alias("other")), "key")
-    return j.where(almost(F.col("dkey"), F.col("other"))).select("name", "dkey", "other").distinct()
+    Domains meet by what they have in common, so even a window that holds a third of all rows compares few.
+    """
+    a = left.select(*on, "dkey").distinct().select(*on, "dkey", F.explode(shortened(F.col("dkey"))).alias("short"))
+    b = right.select(*on, F.col("dkey").alias("other")).distinct().select(*on, "other", F.explode(shortened(F.col("other"))).alias("short"))
+    return a.join(b, [*on, "short"]).select(*on, "dkey", "other").distinct().where(almost(F.col("dkey"), F.col("other")))
+
+
+class Runs:
+    """Sorted runs below a folder, each split into 2**bits ranges of its key."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder, schema
+        self.held: list[tuple[str, int]] = []
+
+    @staticmethod
+    def range_of(bits: int) -> Column:
+        return F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+
+    def add(self, df: DataFrame, bits: int) -> None:
+        path = f"{self.folder}/run-{uuid.uuid4().hex}"
+        ranged = df.withColumn("range", self.range_of(bits))
+        ranged.repartition(max(1, 2**bits), "range").sortWithinPartitions("range", "key").write.partitionBy("range").parquet(path)
+        self.held.append((path, bits))
+
+    def all(self) -> DataFrame | None:
+        """Everything held."""
+        return self.touching(None)
+
+    def touched(self, keys: DataFrame) -> set[int] | None:
+        """The ranges, by the finest division held, in which keys fall; None for all. At most 2**bits numbers."""
+        bits = max((b for _, b in self.held), default=0)
+        if 2**bits <= FEW_RANGES:
+            return None
+        return {r[0] for r in keys.select(self.range_of(bits)).distinct().collect()}
+
+    def touching(self, ranges: set[int] | None) -> DataFrame | None:
+        """What is held in the given ranges; no other range is read."""
+        out, finest = None, max((b for _, b in self.held), default=0)
+        for path, bits in self.held:
+            df = self.spark.read.schema(f"{self.schema}, range int").parquet(path)
+            if ranges is not None:
+                df = df.where(F.col("range").isin(sorted({r >> (finest - bits) for r in ranges})))
+            df = df.drop("range")
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    def replace(self, df: DataFrame, bits: int) -> None:
+        """Merges all runs into one, df, then removes them."""
+        old, self.held = self.held, []
+        self.add(df, bits)
+        for path, _ in old:
+            remove(self.spark, path)
 
 
 class History:
-    """Accepted rows as persisted sorted runs below folder (by default a fresh one in the shared folder)."""
+    """The accepted rows and the counts of names by key, below folder (by default a fresh one in the shared folder)."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, folder: str | None = None, range_rows: int = RANGE_ROWS):
+        self.spark, self.range_rows = spark, range_rows
         self.folder = folder or scratch(spark, "history")
-        self.runs: list[str] = []
+        self.entries = Runs(spark, f"{self.folder}/entries", ENTRY)
+        self.counts = Runs(spark, f"{self.folder}/counts", COUNT)
+        self.bits, self.compactions = 0, 0
+        self.load()
+
+    def load(self) -> None:
+        """Takes up a history that an earlier process left in the folder."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return
+        last = self.spark.read.schema("version long, bits int, compactions int, entries array<struct<path:string,bits:int>>, counts array<struct<path:string,bits:int>>").json(f"{self.folder}/manifest").orderBy(F.desc("version")).first()
+        self.version, self.bits, self.compactions = last["version"], last["bits"], last["compactions"]
+        self.entries.held = [tuple(r) for r in last["entries"]]
+        self.counts.held = [tuple(r) for r in last["counts"]]
+
+    version = 0
+
+    def save(self) -> None:
+        """Notes which runs are valid; a batch counts from here on."""
+        self.version += 1
+        row = (self.version, self.bits, self.compactions, self.entries.held, self.counts.held)
+        schema = "version long, bits int, compactions int, entries array<struct<path:string,bits:int>>, counts array<struct<path:string,bits:int>>"
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
 
-    def entries(self) -> DataFrame | None:
-        """All entries of all runs: key and the row it stands for."""
-        return self.spark.read.schema(f"{ROW}, key string").parquet(*self.runs) if self.runs else None
+    def compact(self) -> None:
+        """Merges the runs into one each; ranges become as many as the entries demand."""
+        held = self.entries.all()
+        self.bits = max(0, (max(1, held.count()) // self.range_rows).bit_length())
+        self.entries.replace(held, self.bits)
+        counts = self.counts.all().groupBy("key", "name").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+        self.counts.replace(counts, self.bits)
+        self.compactions += 1
 
-    def append(self, accepted: DataFrame) -> None:
-        """Adds a sorted run; compacts when there are several."""
-        run = f"{self.folder}/run-{uuid.uuid4().hex}"
-        both = exact_entries(accepted).unionByName(near_entries(accepted)).select(*COLUMNS, "key")
-        both.repartitionByRange("key").sortWithinPartitions("key").write.parquet(run)
-        self.runs.append(run)
-        if len(self.runs) > COMPACT_EVERY:
-            self.compact()
 
-    def compact(self) -> None:
-        """Merges all runs into one of disjoint key ranges."""
-        run = f"{self.folder}/compact-{uuid.uuid4().hex}"
-        self.entries().repartitionByRange("key").sortWithinPartitions("key").write.parquet(run)
-        self.runs = [run]
+def key_counts(rows: DataFrame) -> DataFrame:
+    """key, name, n, own: how often hosts and pages stand by a name; own: with a path below the host that spells it."""
+    own = F.coalesce((F.length("path") >= 4) & F.col("path").startswith(F.substring("name", 1, 4)), F.lit(False)).cast("int")
+    each = F.array(F.struct(hashed("d", F.col("dkey")).alias("key"), own.alias("own")), F.struct(hashed("l", F.col("lkey")).alias("key"), F.lit(0).alias("own")))
+    k = rows.select(hashed("name", F.col("name")).alias("name"), F.explode(each).alias("k")).where("k.key IS NOT NULL")
+    return k.groupBy("k.key", "name").agg(F.count("*").alias("n"), F.max("k.own").alias("own"))
 
 
-def history_pairs(new: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b): b of the new rows matches an accepted a of the history that stands in the same key window."""
-    j = exact_entries(new).unionByName(near_entries(new)).alias("b").join(held.alias("a"), F.col("b.key") == F.col("a.key"))
-    near = same_place("a", "b") & almost(F.col("a.dkey"), F.col("b.dkey"))
-    return j.where(~F.col("b.key").startswith("n:") | near).select(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b")).distinct()
+def shared_keys(counts: DataFrame) -> DataFrame:
+    """The keys of hosts and pages that unrelated companies share: they identify nobody.
 
+    A key is shared when it stands by three names or more and these are at least half of its rows, or by two
+    names of which one has its own page below the host.
+    """
+    names = counts.groupBy("key", "name").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+    total = names.groupBy("key").agg(F.sum("n").alias("n"), F.count("name").alias("names"), F.max("own").alias("own"))
+    return total.where(f"(names >= {SHARED_NAMES} AND 2 * names >= n) OR (names >= 2 AND own = 1)").select("key")
 
-def accepted_pairs(rows: DataFrame, accepted: DataFrame, close: DataFrame) -> DataFrame:
-    """(a, b): b of rows matches an earlier accepted a of the same batch. close: near_domains of the batch."""
-    e = exact_entries(accepted).select("key", F.col("record_id").alias("a"))
-    exact = exact_entries(rows).select("key", F.col("record_id").alias("b")).join(e, "key").select("a", "b")
-    by = rows.join(close, ["name", "dkey"]).alias("b").join(accepted.alias("a"), (F.col("b.name") == F.col("a.name")) & (F.col("b.other") == F.col("a.dkey")))
-    near = by.where(same_place("a", "b")).select(F.col("a.record_id").alias("a"), F.col("b.record_id").alias("b"))
-    return exact.unionByName(near).where("a < b").distinct()
 
+def without_shared(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows with null in place of shared keys. Joins, as the number of shared keys has no bound."""
+    for kind, column in (("d", "dkey"), ("l", "lkey")):
+        some = shared.select(F.col("key").alias("gone"))
+        rows = rows.join(some, hashed(kind, F.col(column)) == F.col("gone"), "left").withColumn(column, F.when(F.col("gone").isNull(), F.col(column))).drop("gone")
+    return rows
 
-def settle(rows: DataFrame, close: DataFrame, max_rounds: int = 1_000) -> DataFrame:
-    """The accepted among rows, none of which matches history, by order of arrival.
 
-    rows: one row a profile (copies collapsed). Rows alone in all their windows are accepted at once; each round
-    then costs a few joins over what is still undecided.
+def history_pairs(new: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b): b of the new rows matches an accepted a of the history that stands in a window of one of b's keys."""
+    exact = new.select(F.col("record_id").alias("b"), F.explode(exact_keys()).alias("key")).join(held.where("dkey IS NULL"), "key")
+    mine = new.select(F.col("record_id").alias("b"), "dkey", F.explode(window_keys()).alias("key"))
+    theirs = held.where("dkey IS NOT NULL").join(mine.select("key").distinct(), "key", "left_semi")
+    close = almost_equal(mine, theirs, "key")
+    near = mine.join(close, ["key", "dkey"]).join(theirs.select("key", F.col("dkey").alias("other"), "record_id"), ["key", "other"])
+    return exact.select(F.col("record_id").alias("a"), "b").unionByName(near.select(F.col("record_id").alias("a"), "b")).distinct()
+
+
+def own_and_asked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(record_id, key): the keys a row stands for, and the keys by which an earlier row repels it."""
+    named = rows.where("dkey IS NOT NULL AND name IS NOT NULL").select("name", "dkey").distinct()
+    many = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    some = named.join(many, "name", "left_semi")
+    close = almost_equal(some, some, "name")
+    own = rows.select("record_id", F.explode(F.concat(exact_keys(), node_keys("dkey"))).alias("key"))
+    near = rows.join(close, ["name", "dkey"]).select("record_id", F.explode(node_keys("other")).alias("key"))
+    return own, rows.select("record_id", F.explode(exact_keys()).alias("key")).unionByName(near)
+
+
+def settle(ids: DataFrame, own: DataFrame, asked: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """The accepted among ids (record_id), by order of arrival. own and asked: see own_and_asked.
+
+    Rows that share no key with others are accepted at once; rounds go over the others alone.
     """
-    place = F.explode(F.array_compact(F.array(F.concat(F.lit("c:"), F.col("city")), F.concat(F.lit("p:"), F.col("phone")))))
-    todo, accepted = rows, []
+    first = own.groupBy("key").agg(F.min("record_id").alias("first"))
+    behind = stored(asked.join(first, "key").where("first < record_id").select("record_id").distinct(), "behind")
+    accepted = [ids.join(behind, "record_id", "left_anti")]
+    # What the rest is up against: the keys of those that are accepted and of those that are undecided.
+    asking = asked.join(behind, "record_id", "left_semi")
+    todo, now = behind, accepted[0]
     for _ in range(max_rounds):
-        exact = exact_entries(todo).select("key", "record_id")
-        first = exact.groupBy("key").agg(F.min("record_id").alias("first"))
-        behind = exact.join(first, "key").where("first < record_id").select("record_id")
-        # Earlier undecided rows of an almost equal domain: the first one a domain and place.
-        first_near = todo.select("record_id", "name", F.col("dkey").alias("other"), place.alias("place")).groupBy("name", "other", "place").agg(F.min("record_id").alias("first"))
-        asked = todo.join(close, ["name", "dkey"]).select("record_id", "name", "other", place.alias("place"))
-        blocked = asked.join(first_near, ["name", "other", "place"]).where("first < record_id").select("record_id")
-        now = stored(todo.join(behind.unionByName(blocked).distinct(), "record_id", "left_anti"), "accepted")
-        accepted.append(now)
-        rest = todo.join(now.select("record_id"), "record_id", "left_anti")
-        gone = accepted_pairs(rest, now, close).select(F.col("b").alias("record_id")).distinct()
-        todo = stored(rest.join(gone, "record_id", "left_anti"), "todo")
-        if not todo.take(1):
+        taken = own.join(now, "record_id", "left_semi").select("key", F.col("record_id").alias("a"))
+        gone = asking.join(taken, "key").where("a < record_id").select("record_id").distinct()
+        left = stored(todo.join(gone, "record_id", "left_anti"), "todo")
+        if not left.take(1):
             break
+        own_left = own.join(left, "record_id", "left_semi")
+        first = own_left.groupBy("key").agg(F.min("record_id").alias("first"))
+        blocked = asking.join(left, "record_id", "left_semi").join(first, "key").where("first < record_id").select("record_id").distinct()
+        now = stored(left.join(blocked, "record_id", "left_anti"), "accepted")
+        accepted.append(now)
+        todo = left.join(now, "record_id", "left_anti")
     else:
         raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
     out = accepted[0]
@@ -166,30 +260,49 @@ def settle(rows: DataFrame, close: DataFrame, max_rounds: int = 1_000) -> DataFr
 
 
 def add_batch(history: History, rows: DataFrame) -> DataFrame:
-    """record_id_a, record_id_b of the batch's repeats; the batch's accepted rows join the history.
+    """record_id_a, record_id_b of the batch's repeats; the batch's accepted rows and counts join the history.
 
-    rows: normalised rows with shared keys nulled, all arriving after the history.
+    rows: normalised rows, one a record_id, all arriving after the history.
     """
-    keyed = rows.where("dkey IS NOT NULL OR lkey IS NOT NULL").select(*COLUMNS)
-    close = stored(near_domains(keyed), "close")
-    reps = keyed.groupBy(*PROFILE).agg(F.min("record_id").alias("record_id"))
-    held = history.entries()
+    pad = Scratch(history.spark)
+    counts = pad.stored(key_counts(rows), "counts")
+    ranges = history.counts.touched(counts)
+    known = history.counts.touching(ranges)
+    if known is not None:
+        known = known.join(counts.select("key").distinct(), "key", "left_semi").unionByName(counts)
+    keyed = without_shared(rows, shared_keys(counts if known is None else known)).where("dkey IS NOT NULL OR lkey IS NOT NULL").select(*COLUMNS)
+    keyed = pad.stored(keyed, "keyed")
+    reps = keyed.groupBy(*PROFILE).agg(F.min("record_id").alias("record_id")).select(*COLUMNS)
     old = None
-    if held is not None:
-        old = stored(history_pairs(keyed, held), "old-pairs")
+    if history.entries.held:
+        asked_for = keyed.select(F.explode(F.concat(exact_keys(), window_keys())).alias("key"))
+        old = pad.stored(history_pairs(keyed, history.entries.touching(history.entries.touched(asked_for))), "old-pairs")
         reps = reps.join(old.select(F.col("b").alias("record_id")).distinct(), "record_id", "left_anti")
-    accepted = settle(stored(reps.select(*COLUMNS), "reps"), close)
-    pairs = accepted_pairs(keyed.join(accepted.select("record_id"), "record_id", "left_anti"), accepted, close)
+    own, asked = own_and_asked(keyed)
+    own, asked = pad.stored(own, "own"), pad.stored(asked, "asked")
+    ids = pad.stored(reps.select("record_id"), "reps")
+    accepted = pad.stored(settle(ids, own.join(ids, "record_id", "left_semi"), asked.join(ids, "record_id", "left_semi")), "all-accepted")
+    rest = asked.join(accepted, "record_id", "left_anti").select(F.col("record_id").alias("b"), "key")
+    pairs = rest.join(own.join(accepted, "record_id", "left_semi").select(F.col("record_id").alias("a"), "key"), "key").where("a < b").select("a", "b")
     if old is not None:
         pairs = pairs.unionByName(old)
-    history.append(accepted)
-    return pairs.distinct().select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
+    out = stored(pairs.distinct().select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b")), "pairs")
+    held = keyed.join(accepted, "record_id", "left_semi")
+    entries = held.select(F.explode(exact_keys()).alias("key"), "record_id", F.lit(None).cast("string").alias("dkey")).unionByName(held.select(F.explode(window_keys()).alias("key"), "record_id", "dkey"))
+    history.entries.add(entries, history.bits)
+    history.counts.add(counts, history.bits)
+    if len(history.entries.held) >= COMPACT_EVERY:
+        history.compact()
+    history.save()
+    pad.clear()
+    return out
 
 
 def batch_number(rows: DataFrame, batches: int) -> DataFrame:
     """import_id, batch: the first import alone, the others in shares of about equal numbers by their first row.
 
-    The bounds are approximate quantiles, one value a batch; where they lie never changes which rows repeat which.
+    The bounds are approximate quantiles, one value a batch. They do not change which rows repeat which, but for keys
+    that only a later import shows to be shared.
     """
     imports = rows.groupBy("import_id").agg(F.min("record_id").alias("start"))
     at = [k / (batches - 1) for k in range(1, batches - 1)]
@@ -200,20 +313,20 @@ def batch_number(rows: DataFrame, batches: int) -> DataFrame:
     return imports.select("import_id", F.when(F.col("import_id") == F.lit(first), 0).otherwise(later).alias("batch"))
 
 
-def replay(rows: DataFrame, batches: int = 3) -> DataFrame:
+def replay(rows: DataFrame, batches: int = 5, history: History | None = None) -> DataFrame:
     """Replays a table of imports batch by batch: record_id_a (accepted), record_id_b (its repeat).
 
     rows(record_id, import_id, company_name, domain, linkedin_url, city, phone). Rows without a usable domain or
     page are accepted and repeat nothing; null names, cities and phones agree with nothing; a record_id given
-    twice counts once, its least row; an empty table gives no pairs. Extra columns are not read.
+    twice counts once, its least row; an empty table gives no pairs. Extra columns are not read. Five batches see the
+    runs compacted once.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("import_id", F.coalesce("import_id", F.lit("")))
     base = normalised(rows.join(batch_number(rows, batches), "import_id"))
     once = stored(base.groupBy("record_id").agg(F.min(F.struct("batch", *PROFILE, "path")).alias("r")).select("record_id", "r.*"), "normalised")
-    clean = stored(without_shared(once, shared_keys(once)), "clean")
-    history, found = History(spark), None
+    history, found = history or History(spark), None
     for b in range(batches):
-        pairs = stored(add_batch(history, clean.where(F.col("batch") == b)), "pairs")
+        pairs = add_batch(history, once.where(F.col("batch") == b))
         found = pairs if found is None else found.unionByName(pairs)
     return found

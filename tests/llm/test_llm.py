@@ -301,7 +301,31 @@ def test_entity_names_in_part(spark):
 def test_undecided_rows_are_not_dropped(spark):
     rows = spark.createDataFrame([(1, "d1", None), (2, "d1", "p1"), (3, None, "p1")], "record_id bigint, dkey string, lkey string")
     rows = rows.select(*[c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in history_dedupe.COLUMNS])
-    close = history_dedupe.near_domains(rows)
-    assert sorted(r["record_id"] for r in history_dedupe.settle(rows, close).collect()) == [1, 3]
+    own, asked = history_dedupe.own_and_asked(rows)
+    assert sorted(r["record_id"] for r in history_dedupe.settle(rows.select("record_id"), own, asked).collect()) == [1, 3]
     with pytest.raises(RuntimeError):
-        history_dedupe.settle(rows, close, max_rounds=1)
+        history_dedupe.settle(rows.select("record_id"), own, asked, max_rounds=1)
+
+
+def test_history_import_by_import(spark):
+    """Imports fed one by one, in two processes' worth of objects, give what the sequential model gives; only touched ranges are read."""
+    rnd = random.Random(9)
+    page = lambda x: f"https://www.linkedin.example/company/{x}/" if x else x
+    rows = []
+    for i in range(240):
+        d = rnd.choice([None, *[f"{x}{y}{z}bcdef.test" for x in "abc" for y in "cde" for z in "pqr"], "acabcdef.example", "caabcdef.test"])
+        rows.append((i, f"i{i // 40}", rnd.choice(["same", "other"]), d, rnd.choice([None, None, None, *"pqrstuvw"]), rnd.choice([None, "x", "y"]), rnd.choice([None, "5550001", "5550002"])))
+    df = spark.createDataFrame([(*r[:4], page(r[4]), *r[5:], int(r[1][1:])) for r in rows], "record_id bigint, import_id string, company_name string, domain string, linkedin_url string, city string, phone string, batch int")
+    base = history_dedupe.normalised(df)
+    history, got = history_dedupe.History(spark, range_rows=4), set()
+    for b in range(6):
+        got |= {tuple(r) for r in history_dedupe.add_batch(history, base.where(F.col("batch") == b)).collect()}
+        history = history_dedupe.History(spark, history.folder, range_rows=4)
+    assert got == sequential(rows) and history.compactions >= 1 and history.bits > 2 and len(history.entries.held) <= history_dedupe.COMPACT_EVERY
+    one = spark.createDataFrame([(0,)], "key bigint")
+    ranges = history.entries.touched(one)
+    assert len(ranges) == 1
+    part, everything = history.entries.touching(ranges), history.entries.all()
+    assert part.count() < everything.count()
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(range" in plan or "PartitionFilters: [range" in plan, plan
