@@ -71,6 +71,32 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage: only then does Spark's cleaner drop the shuffle files of finished steps.
+
+    Left alone they stay until the heap is full, on the disks of all executors.
+    """
+    spark._jvm.System.gc()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the shared file system, overwritten at once."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of the shared file system; None if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
 class Scratch:
     """Tables stored for a while: clear() deletes them once nothing reads them any more."""
 
