@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from lodestrata.llm.canonical_list import map_values
 from lodestrata.operators import keys as K
-from lodestrata.session import stored
+from lodestrata.session import stored, tidy
 
 TOP = 10
 LIGHT = 50
@@ -248,6 +248,7 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
     Entities that share no name, name-like host or host with a query are no candidates, whatever place they share.
     """
     asked = stored(asked_terms(queries, df, n).repartition("query"), "asked")
+    tidy(index.sparkSession)
     most = 1 + K1
     telling = F.col("slot").startswith("w") | F.col("slot").isin("n", "f", "o", "d")
     rare = F.col("df") <= light
@@ -267,6 +268,7 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
     near = sums.join(lead, "query").join(bounds.select("query", "rest", "margin"), "query").where(F.col("light") + F.col("rest") > F.col("lead") - F.col("margin")).select("query", "entity")
     looked_up = near.join(asked.where("term IS NOT NULL").where(~(telling & rare)), "query").join(index, ["entity", "term"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
     direct = stored(of_slots(found.join(near, ["query", "entity"], "left_semi").unionByName(looked_up).repartition("query")), "candidates")
+    tidy(index.sparkSession)
     # Queries that an entity with nothing but frequent terms could still matter to: it may be acceptable by itself, or
     # be too near to an acceptable best one.
     ahead = direct.join(bounds.select("query", "n_words"), "query").groupBy("query").agg(F.max_by(F.struct((F.col("score") - F.col("host")).alias("base"), acceptable().alias("fit")), F.struct("score", -F.col("entity"))).alias("ahead"))
@@ -277,6 +279,7 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
     sets = stored(sets, "sets")
     each = sets.groupBy("set").agg(F.first("terms").alias("terms")).select(F.col("set").alias("query"), F.explode("terms").alias("t")).select("query", "t.*")
     held = stored(brought(each.where(telling), index), "holders")
+    tidy(index.sparkSession)
     holders = held.select("query", "entity").distinct()
     places = holders.join(each.where(~telling), "query").join(index, ["entity", "term"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
     shared = of_slots(held.unionByName(places))
@@ -405,6 +408,7 @@ def match(targets: DataFrame, people: DataFrame, reference: DataFrame, light: in
     t = stored(entities(raw).join(places, "country", "left").drop("country", "lkey"), "entities")
     q = stored(typed_profiles(people, places), "people")
     queries = q.groupBy("query").agg(*[F.first(c).alias(c) for c in ("mail", "words", "typed_host", "city", "country_ref")]).withColumns({"mail_core": core_of(F.col("mail")), "typed_core": core_of(F.col("typed_host"))})
+    tidy(t.sparkSession)
     index, df, n = inverted_index(t)
     pairs = stored(judged(top_pairs(queries, index, df, n, light), queries), "pairs")
     scored = pairs.withColumn("confidence", confidence(calibrate(pairs)))

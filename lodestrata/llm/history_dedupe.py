@@ -17,16 +17,17 @@ them is rejected, until none is left. No group is ever collected, and exact copi
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import keys as K
-from lodestrata.session import Scratch, remove, scratch, stored
+from lodestrata.session import Scratch, read_text, remove, scratch, stored, tidy, write_text
 
 SHARED_NAMES = 3
-COMPACT_EVERY = 4
+COMPACT_EVERY = 3
 RANGE_ROWS = 200_000  # entries that a range of keys should hold
 FEW_RANGES = 4  # so few are read without asking which of them a batch touches
 PROFILE = ["dkey", "lkey", "name", "city", "phone"]
@@ -153,22 +154,16 @@ class History:
 
     def load(self) -> None:
         """Takes up a history that an earlier process left in the folder."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return
-        last = self.spark.read.schema("version long, bits int, compactions int, entries array<struct<path:string,bits:int>>, counts array<struct<path:string,bits:int>>").json(f"{self.folder}/manifest").orderBy(F.desc("version")).first()
-        self.version, self.bits, self.compactions = last["version"], last["bits"], last["compactions"]
-        self.entries.held = [tuple(r) for r in last["entries"]]
-        self.counts.held = [tuple(r) for r in last["counts"]]
-
-    version = 0
+        noted = read_text(self.spark, f"{self.folder}/manifest.json")
+        if noted:
+            last = json.loads(noted)
+            self.bits, self.compactions = last["bits"], last["compactions"]
+            self.entries.held, self.counts.held = [tuple(r) for r in last["entries"]], [tuple(r) for r in last["counts"]]
 
     def save(self) -> None:
         """Notes which runs are valid; a batch counts from here on."""
-        self.version += 1
-        row = (self.version, self.bits, self.compactions, self.entries.held, self.counts.held)
-        schema = "version long, bits int, compactions int, entries array<struct<path:string,bits:int>>, counts array<struct<path:string,bits:int>>"
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+        noted = {"bits": self.bits, "compactions": self.compactions, "entries": self.entries.held, "counts": self.counts.held}
+        write_text(self.spark, f"{self.folder}/manifest.json", json.dumps(noted))
 
     def compact(self) -> None:
         """Merges the runs into one each; ranges become as many as the entries demand."""
@@ -265,7 +260,7 @@ def add_batch(history: History, rows: DataFrame) -> DataFrame:
     rows: normalised rows, one a record_id, all arriving after the history.
     """
     pad = Scratch(history.spark)
-    counts = pad.stored(key_counts(rows), "counts")
+    counts = key_counts(rows)
     ranges = history.counts.touched(counts)
     known = history.counts.touching(ranges)
     if known is not None:
@@ -279,8 +274,7 @@ def add_batch(history: History, rows: DataFrame) -> DataFrame:
         old = pad.stored(history_pairs(keyed, history.entries.touching(history.entries.touched(asked_for))), "old-pairs")
         reps = reps.join(old.select(F.col("b").alias("record_id")).distinct(), "record_id", "left_anti")
     own, asked = own_and_asked(keyed)
-    own, asked = pad.stored(own, "own"), pad.stored(asked, "asked")
-    ids = pad.stored(reps.select("record_id"), "reps")
+    asked, ids = pad.stored(asked, "asked"), pad.stored(reps.select("record_id"), "reps")
     accepted = pad.stored(settle(ids, own.join(ids, "record_id", "left_semi"), asked.join(ids, "record_id", "left_semi")), "all-accepted")
     rest = asked.join(accepted, "record_id", "left_anti").select(F.col("record_id").alias("b"), "key")
     pairs = rest.join(own.join(accepted, "record_id", "left_semi").select(F.col("record_id").alias("a"), "key"), "key").where("a < b").select("a", "b")
@@ -295,6 +289,7 @@ def add_batch(history: History, rows: DataFrame) -> DataFrame:
         history.compact()
     history.save()
     pad.clear()
+    tidy(history.spark)
     return out
 
 
@@ -313,12 +308,12 @@ def batch_number(rows: DataFrame, batches: int) -> DataFrame:
     return imports.select("import_id", F.when(F.col("import_id") == F.lit(first), 0).otherwise(later).alias("batch"))
 
 
-def replay(rows: DataFrame, batches: int = 5, history: History | None = None) -> DataFrame:
+def replay(rows: DataFrame, batches: int = 4, history: History | None = None) -> DataFrame:
     """Replays a table of imports batch by batch: record_id_a (accepted), record_id_b (its repeat).
 
     rows(record_id, import_id, company_name, domain, linkedin_url, city, phone). Rows without a usable domain or
     page are accepted and repeat nothing; null names, cities and phones agree with nothing; a record_id given
-    twice counts once, its least row; an empty table gives no pairs. Extra columns are not read. Five batches see the
+    twice counts once, its least row; an empty table gives no pairs. Extra columns are not read. Four batches see the
     runs compacted once.
     """
     spark = rows.sparkSession
