@@ -4,12 +4,16 @@ Records made by one template share their fixed words and differ in its slots. Se
 skeleton (slots for names, numbers and anything that looks like a placeholder or a printed default), and
 sentences of one skeleton are aligned over the whole corpus. A slot that still holds a variable name, a default
 or nothing is residue if other records fill it otherwise; where every record holds the very same thing, it is
-the author's own wording ("compares {{ }} with <% %> tags"). Values that are nothing but placeholders or filler,
-and sentences that repeat a known page of an error, a block or a demand for scripts, are residue by themselves;
-such pages are only taken as a whole sentence, so text about them is not.
+the author's own wording ("compares {{ }} with <% %> tags"). Values that are nothing but placeholders or filler
+are residue by themselves.
 
-One pass over the records, in Arrow batches, yields a few findings and pre-aggregated skeleton counts; only
-these are shuffled.
+Whole pages of errors, blocks and demands for scripts are induced from what repeats: texts that stand alike but for
+names and numbers in REPEATED records or more are aligned into one template, and a template is such a page if its
+words speak for one. What words say is learnt from the corpus itself: known pages (fixed values) are the seeds, all
+other texts the rest, and weights come from their counts. Known pages are residue at any number.
+
+One pass over the records, in Arrow batches, yields findings, pre-aggregated skeleton counts and the texts that could
+be pages; it is stored, and only these few rows are shuffled.
 """
 
 from __future__ import annotations
@@ -20,12 +24,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import stored
+
+REPEATED = 20
+MARGIN = 3.0  # log odds that a repeated template needs to be a page of an error
+MAX_WORDS = 5_000  # of the seeds, checked
+
 # What a slot of unfilled templates looks like. Names of HTML elements in <...> are none.
 HTML = "a|abbr|address|article|b|blockquote|body|br|button|center|code|dd|div|dl|dt|em|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|li|link|main|meta|nav|noscript|ol|option|p|pre|q|s|script|section|select|small|span|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|u|ul|wbr"
 NAME = r"[A-Za-z_/][\w./ -]{0,39}|\d{1,3}"
@@ -73,6 +84,19 @@ WHOLE = [
     r"(?:bitte )?aktivieren sie (?:bitte )?java ?script\b.*", r"java ?script (?:ist|muss|wird) .*(?:aktivier|deaktivier|ben[oö]tigt).*", r"(?:veuillez |merci d')?activer java ?script\b.*", r"java ?script (?:est|doit) .*(?:d[eé]sactiv|activ).*", r"(?:por favor,? )?(?:active|habilite|activa) java ?script\b.*", r"java ?script (?:est[aá]|debe) .*(?:desactiv|activ|habilit).*",
 ]
 PAGE = re.compile("(?:" + "|".join(WHOLE) + ")", re.S)
+
+
+def seed_words(patterns: list[str]) -> frozenset[str]:
+    """The words that the seeds are written with."""
+    text = re.sub(r"\[(.)[^\]]*\]", r"\1", " ".join(patterns).replace("(?:", "("))
+    return frozenset(re.findall(r"[^\W\d_]{2,}", re.sub(r"\\.", " ", text).replace("?", "")))
+
+
+SEEDS = seed_words([*WHOLE, SCRIPT, CODE]) - {"ing", "ed", "re"}
+assert len(SEEDS) <= MAX_WORDS
+WORD = re.compile(r"[^\W\d_]{2,}")
+# Words by which a page speaks to its reader or of itself; texts about others have none of them.
+ADDRESS = frozenset("you your please we our us this sorry bitte sie wir ihre diese vous votre veuillez nous cette usted su por favor esta".split())
 # No slot is without one of these characters.
 MARKED = re.compile(r"[{}<>\[\]@$|%]|__")
 GREETED = re.compile(r"(?:^|\b(?:hi|dear|hello|hey|to|what|noticed|said|of|from|by|at|for|with|met|that|before|rivals of)\s+)$", re.I)
@@ -184,17 +208,37 @@ def examine(text: str) -> tuple[bool, list[tuple[int, int, str, bool]]]:
     return False, slots
 
 
-def find_residue(records: DataFrame, key: str = "id", data: str = "custom_data") -> DataFrame:
-    """person_id, field_key of every entry that holds template residue or error-page text in place of content.
+def page_template(text: str) -> str:
+    """A whole text without what differs between its copies: numbers, addresses and anything with digits."""
+    return re.sub(r"\s+", " ", re.sub(r"\S*\d\S*|\S+@\S+|https?://\S+", "¤", plain(text)))
+
+
+def word_weights(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
+    """The counts with what no count tells: the numbers of words in all."""
+    total = {k: sum(n for (c, _), n in counts.items() if c == k) + 0.5 * (len(SEEDS) + 1) for k in ("page", "rest")}
+    return {**{k: float(n) for k, n in counts.items()}, ("page", ""): total["page"], ("rest", ""): total["rest"]}
+
+
+def page_odds(template: str, copies: int, counts: dict[tuple[str, str], float]) -> float:
+    """Log odds, by naive Bayes over words, that a template is a page of an error. Its own copies do not count against it."""
+    odds = 0.0
+    for w, n in Counter(w if w in SEEDS else "*" for w in WORD.findall(template)).items():
+        page, rest = counts.get(("page", w), 0.0) + 0.5, max(0.0, counts.get(("rest", w), 0.0) - copies * n) + 0.5
+        odds += n * (log(page / counts["page", ""]) - log(rest / counts["rest", ""]))
+    return odds
 
-    Null, empty and unreadable records, and values that are no objects, have no entries; of keys given twice in a
-    record the last counts; an entry counts once however many of its parts are residue. Repeated rows come out
-    once; extra columns are not read.
+
+def examined(records: DataFrame, key: str, data: str) -> DataFrame:
+    """The pass over the records, as rows of several kinds:
+
+    sure: person_id, field_key of an entry that is residue by itself; slot: an entry's slot in a template's place and
+    its filler; fill: a template and how many sentences fill its slots properly; text: an entry whose value could be
+    a page, filler being its template; word: filler is a word, template 1 for pages and 0 for other texts, n its count.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, normal = [], Counter()
+            rows, normal, words, seen = [], Counter(), Counter(), set()
             for rid, text in zip(pdf["id"].tolist(), pdf["data"].tolist()):
                 try:
                     record = json.loads(text)
@@ -208,25 +252,67 @@ def find_residue(records: DataFrame, key: str = "id", data: str = "custom_data")
                         hit, more = examine(leaf)
                         sure = sure or hit
                         slots += more
-                        if not hit and not more and " " in leaf:
+                        if " " not in leaf:
+                            continue
+                        if not hit and not more:
                             normal.update(SENTENCE.split(leaf))
+                        mine = WORD.findall(leaf.lower())
+                        telling = sum(map(SEEDS.__contains__, mine))
+                        if not telling:
+                            continue
+                        new = leaf not in seen
+                        if new:
+                            seen.add(leaf)
+                            words.update((hit, w if w in SEEDS else "*") for w in mine)
+                        if not hit and telling > 2 and 3 * telling > len(mine) and not ADDRESS.isdisjoint(mine):
+                            rows.append((rid, field, "text", None, None, page_template(leaf), None, int(new)))
                     if sure:
-                        rows.append((rid, field, None, None, None, True, 1))
+                        rows.append((rid, field, "sure", None, None, None, True, 1))
                     else:
-                        rows += [(rid, field, t, i, f, k, 1) for t, i, f, k in dict.fromkeys(slots)]
+                        rows += [(rid, field, "slot", t, i, f, k, 1) for t, i, f, k in dict.fromkeys(slots)]
             keys: Counter = Counter()
             for s, n in normal.items():
                 keys[template(s, False)] += n
-            rows += [(None, None, t, None, None, None, n) for t, n in keys.items()]
-            yield pd.DataFrame(rows, columns=["person_id", "field_key", "template", "place", "filler", "known", "n"]).astype({"template": "Int64", "place": "Int64"})
+            rows += [(None, None, "fill", t, None, None, None, n) for t, n in keys.items()]
+            rows += [(None, None, "word", int(hit), None, w, None, n) for (hit, w), n in words.items()]
+            yield pd.DataFrame(rows, columns=["person_id", "field_key", "what", "template", "place", "filler", "known", "n"]).astype({"template": "Int64", "place": "Int64"})
 
     # The key keeps its own type; null keys stay null and are found like any other.
     src = records.select(F.col(key).cast("string").alias("id"), F.make_valid_utf8(data).alias("data")).where("data IS NOT NULL AND data <> ''")
-    out = src.mapInPandas(read, "person_id string, field_key string, template bigint, place int, filler string, known boolean, n bigint")
+    return src.mapInPandas(read, "person_id string, field_key string, what string, template bigint, place int, filler string, known boolean, n bigint")
+
+
+def repeated_pages(out: DataFrame) -> DataFrame:
+    """filler: the repeated templates that are pages of errors. out: see examined."""
+    rows = out.where("what = 'word'").groupBy("template", "filler").agg(F.sum("n").alias("n")).limit(2 * MAX_WORDS).collect()  # two classes of the seeds' words
+    held = out.sparkSession.sparkContext.broadcast(word_weights({("page" if r["template"] else "rest", r["filler"]): r["n"] for r in rows}))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[page_odds(t, n, held.value) > MARGIN for t, n in zip(pdf["filler"], pdf["n"])]][["filler"]]
+
+    # Of equal copies in one batch the words were counted once: n.
+    often = out.where("what = 'text'").groupBy("filler").agg(F.count("*").alias("copies"), F.sum("n").alias("n")).where(f"copies >= {REPEATED}")
+    return often.mapInPandas(judge, "filler string")
+
+
+def find_residue(records: DataFrame, key: str = "id", data: str = "custom_data") -> DataFrame:
+    """person_id, field_key, how of every entry that holds template residue or error-page text in place of content.
+
+    how is 'aligned' where other records or copies show it, 'known' where it is recognised by itself. Null, empty and
+    unreadable records, and values that are no objects, have no entries; of keys given twice in a record the last
+    counts; an entry counts once however many of its parts are residue. Repeated rows come out once; extra columns
+    are not read.
+    """
+    out = stored(examined(records, key, data), "examined")
     # Alignment: what the slots of a template hold in all its records. Sentences without slots fill them properly.
-    filled = out.where("template IS NOT NULL").groupBy("template", "place").agg(F.sum("n").alias("n"), F.min("filler").alias("least"), F.max("filler").alias("most"))
+    filled = out.where("what IN ('slot', 'fill')").groupBy("template", "place").agg(F.sum("n").alias("n"), F.min("filler").alias("least"), F.max("filler").alias("most"))
     filled = filled.groupBy("template").agg(
         F.max(F.col("place").isNull()).alias("normal"), F.collect_list(F.when(F.col("least") != F.col("most"), F.col("place"))).alias("varied")
     ).where("normal OR size(varied) > 0")
-    found = out.where("field_key IS NOT NULL").join(filled, "template", "left")
-    return found.where("known OR normal OR array_contains(varied, place)").select("person_id", "field_key").distinct()
+    slots = out.where("what = 'slot'").join(filled, "template", "left")
+    aligned = F.expr("coalesce(normal OR array_contains(varied, place), false)")
+    slots = slots.where(aligned | F.col("known")).select("person_id", "field_key", aligned.alias("aligned"))
+    pages = out.where("what = 'text'").join(repeated_pages(out), "filler").select("person_id", "field_key", F.lit(True).alias("aligned"))
+    found = out.where("what = 'sure'").select("person_id", "field_key", F.lit(False).alias("aligned")).unionByName(slots).unionByName(pages)
+    return found.groupBy("person_id", "field_key").agg(F.when(F.max("aligned"), "aligned").otherwise("known").alias("how"))

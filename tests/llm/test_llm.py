@@ -159,11 +159,23 @@ def test_template_residue(spark):
     rows = [(f"r{i}", json.dumps({"k": v}), "clash") for i, v in enumerate(RESIDUE)] + [(f"c{i}", json.dumps({"k": v}), "clash") for i, v in enumerate(CONTENT)]
     rows += [("n1", None, ""), ("n2", "", ""), ("n3", "{", ""), ("n4", "[]", ""), ("n5", "[" * 5000, ""), ("r0", rows[0][1], "")] + [(f"s{i}", json.dumps({"k": "Uses {{squad}} style names as a joke."}), "") for i in range(5)]
     df = spark.createDataFrame(rows, "id string, custom_data string, person_id string")
-    got = {tuple(r) for r in template_residue.find_residue(df).collect()}
+    got = {(r["person_id"], r["field_key"]) for r in template_residue.find_residue(df).collect()}
     assert got == {(f"r{i}", "k") for i in range(len(RESIDUE))}
     assert template_residue.find_residue(df.limit(0)).count() == 0
 
 
+def test_template_pages_are_induced(spark):
+    """A page that no list holds is found where it repeats, and by alignment; repeated real text is not."""
+    known = [(f"k{i}", json.dumps({"k": x})) for i, x in enumerate(RESIDUE)]
+    unlisted = [(f"u{i}", json.dumps({"k": f"Something went wrong on our server while we tried to load the page. Please contact support with code {i}."})) for i in range(400)]
+    once = [("o", json.dumps({"k": "Our server page went away, please contact someone."}))]
+    real = [(f"c{i}", json.dumps({"k": ["Maintains a plugin that warns users when scripts are blocked.", "Runs a print shop; sample text posters are a bestseller.", "Their blog argues that lorem ipsum hides bad layouts until launch."][i % 3]})) for i in range(300)]
+    real += [(f"p{i}", json.dumps({"k": f"Grew revenue {i}% by opening a depot in Eastton and hiring drivers."})) for i in range(200)]
+    got = {r["person_id"]: r["how"] for r in template_residue.find_residue(spark.createDataFrame(known + unlisted + once + real, "id string, custom_data string")).collect()}
+    assert set(got) == {x for x, _ in known + unlisted} and {got[x] for x, _ in unlisted} == {"aligned"}
+    assert sum(v == "aligned" for v in got.values()) > len(got) / 2
+
+
 def test_template_alignment(spark):
     """An unknown variable is residue where other records fill its slot, wording where none does."""
     rows = [("a", '{"k": "Greetings to {{zorp}} from us all."}'), ("b", '{"k": "Greetings to Acme from us all."}'), ("c", '{"k": "Write {{zorp}} in the header please."}')]
