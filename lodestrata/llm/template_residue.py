@@ -39,11 +39,12 @@ MAX_WORDS = 5_000  # of the seeds, checked
 
 # What a slot of unfilled templates looks like. Names of HTML elements in <...> are none.
 HTML = "a|abbr|address|article|b|blockquote|body|br|button|center|code|dd|div|dl|dt|em|font|footer|form|h[1-6]|head|header|hr|html|i|iframe|img|input|li|link|main|meta|nav|noscript|ol|option|p|pre|q|s|script|section|select|small|span|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|u|ul|wbr"
+# Between single signs that prose uses too (<, %, _) a name is short; between others a slot is of any length.
 NAME = r"[A-Za-z_/][\w./ -]{0,39}|\d{1,3}"
 SLOT = re.compile(
-    r"\{\{\{?[^{}]{0,60}\}?\}\}|\{%-?[^{}%]{0,80}-?%\}|<%[=-]?[^<>%]{0,60}%>|\$\{[^{}]{0,40}\}|#\{[^{}]{0,40}\}|\{![^{}]{0,40}\}"
-    rf"|\{{(?:{NAME})\}}|<<[^<>]{{1,40}}>>|\[\[[^\[\]]{{1,40}}\]\]|\*\|[^|*]{{1,40}}\|\*|@@[\w./ -]{{1,40}}@@|(?<![\d%])%(?:{NAME})%|(?<!\w)__(?:{NAME})__(?!\w)"
-    rf"|\[(?:insert|enter|add|your|type) [^\[\]]{{1,40}}\]|\[[^\[\]:]{{1,40}} here\]|<(?!/?(?:{HTML})\b[^<>]*>)(?:{NAME})>"
+    r"\{\{\{?[^{}]*\}?\}\}|\{%-?[^{}%]*%\}|<%[=-]?[^<>%]*%>|\$\{[^{}]*\}|#\{[^{}]*\}|\{![^{}]*\}"
+    rf"|\{{(?:{NAME})\}}|<<[^<>]+>>|\[\[[^\[\]]+\]\]|\*\|[^|*]+\|\*|@@[\w./ -]+@@|(?<![\d%])%(?:{NAME})%|(?<!\w)__(?:{NAME})__(?!\w)"
+    rf"|\[(?:insert|enter|add|your|type) [^\[\]]+\]|\[[^\[\]: ][^\[\]:]* here\]|<(?!/?(?:{HTML})\b[^<>]*>)(?:{NAME})>"
     r"|\[object Object\]|\$undefined\b",
     re.I,
 )

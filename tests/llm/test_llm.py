@@ -123,6 +123,20 @@ def test_leakage_against_brute_force():
         assert any(x[1] for x in index.leaks(" ".join(doc))) == want
 
 
+def test_leakage_in_another_order():
+    """Blocks in another order, an inserted or a missing word, and matches that others cover in part."""
+    words = [f"w{i}" for i in range(40)]
+    index = leakage.Items([(1, " ".join(words))])
+    found = lambda w: [(x[1], x[2]) for x in index.leaks(" ".join(w))]
+    blocks = [words[i : i + 8] for i in range(0, 40, 8)]
+    assert found(sum((blocks[i] + ["und"] for i in (3, 1, 4, 0, 2)), [])) == [(0, 40)]  # covered as a whole
+    assert found(["a"] + words[5:17] + ["new"] + words[17:29] + ["z"])[0][0] == 24 and found(words[5:17] + words[18:29])[0][0] == 24
+    assert found(words[:10] + ["a", "b", "c"] + words[10:20]) == [(0, 20)] and found(words[:17]) == [(0, 17)]
+    # A repeated half: the longer match is marked first, of the other one only what is free.
+    twice = leakage.Items([(1, " ".join(words[:20] + words[12:20] + words[20:30]))])
+    assert [x[2] for x in twice.leaks(" ".join(words[:20]) + " x " + " ".join(words[12:30]))] == [38]
+
+
 PROSE = "We heard that the branch renewed its lease in March. The buyers compared two depots and were pleased with what they saw. Nobody expected the board to agree so soon."
 PAGES = {
     PROSE: False, PROSE + "\nTags: audit, proposal, sample": False, PROSE + "\nSee https://a.example/x and https://b.example/y": False, "": False, "   \n": False,
@@ -298,6 +312,7 @@ def test_leakage_through_long_markup():
         assert [x[0] for x in index.leaks(k) if x[1]] == [7], long[:20]
     # Words between two distant signs are no tag.
     assert [x[0] for x in index.leaks(f"x <y and {far} {ITEM} z> 3") if x[1]] == [7]
+    assert index.leaks(" ".join(ITEM.split()[:7] * 3_000)) and True
     for slow in ("<a " * 50_000, "<!--" * 50_000, "](" * 50_000, "<" * 50_000):
         assert index.leaks(slow) == []
 
