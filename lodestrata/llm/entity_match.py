@@ -32,7 +32,8 @@ from pyspark.sql.window import Window
 
 from lodestrata.llm.canonical_list import map_values
 from lodestrata.operators import keys as K
-from lodestrata.session import stored, tidy
+from lodestrata.session import stored as kept
+from lodestrata.session import tidy
 
 TOP = 10
 LIGHT = 50
@@ -50,6 +51,13 @@ CONNECTING = ("of", "by", "the", "and", "at", "for", "a", "de", "der", "und", "y
 FEATURES = ("name", "city_same", "city_other", "country_same", "country_other", "gap")
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """A step's result, stored. The many steps plan much and leave shuffle files behind, which are dropped at once."""
+    out = kept(df, what)
+    tidy(df.sparkSession)
+    return out
+
+
 def words_of(c: Column) -> Column:
     """The words of a company's name: no additions, accents, legal form or article; joined capitals apart."""
     t = F.regexp_replace(F.regexp_replace(c, ADDED, ""), ADDED, "")
@@ -248,7 +256,6 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
     Entities that share no name, name-like host or host with a query are no candidates, whatever place they share.
     """
     asked = stored(asked_terms(queries, df, n).repartition("query"), "asked")
-    tidy(index.sparkSession)
     most = 1 + K1
     telling = F.col("slot").startswith("w") | F.col("slot").isin("n", "f", "o", "d")
     rare = F.col("df") <= light
@@ -260,15 +267,15 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
         (F.sum("gain") * most).alias("self"), (SATURATED + most * F.sum(F.when(F.col("slot") == "d", F.col("gain")).otherwise(0.0))).alias("margin"), (F.sum(F.when(telling, F.col("common")).when(F.col("slot").isin("c", "k"), F.col("gain")).otherwise(0.0)) * most).alias("rest"), F.max("open").alias("open"),
         F.coalesce(F.max(F.col("open") & F.col("slot").isin("n", "f", "o", "d")), F.lit(False)).alias("alone"), F.sum(F.when(F.col("open") & F.col("slot").startswith("w"), 1.0).otherwise(0.0)).alias("common_words"), F.sum(F.when(F.col("slot").startswith("w"), 1.0).otherwise(0.0)).alias("n_words"),
     )
-    found = brought(asked.where(telling & rare), index).repartition("query")
+    found = stored(brought(asked.where(telling & rare), index), "found").repartition("query")
     sums = found.groupBy("query", "entity", "slot").agg(F.max("got").alias("got")).groupBy("query", "entity").agg(F.round(F.sum("got"), 6).alias("light"))
     # A candidate that even all frequent terms cannot bring within a full gap of the best one, whether the host counts
     # or not, changes nothing.
     lead = sums.groupBy("query").agg(F.max("light").alias("lead"))
     near = sums.join(lead, "query").join(bounds.select("query", "rest", "margin"), "query").where(F.col("light") + F.col("rest") > F.col("lead") - F.col("margin")).select("query", "entity")
+    near = stored(near, "near")
     looked_up = near.join(asked.where("term IS NOT NULL").where(~(telling & rare)), "query").join(index, ["entity", "term"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
     direct = stored(of_slots(found.join(near, ["query", "entity"], "left_semi").unionByName(looked_up).repartition("query")), "candidates")
-    tidy(index.sparkSession)
     # Queries that an entity with nothing but frequent terms could still matter to: it may be acceptable by itself, or
     # be too near to an acceptable best one.
     ahead = direct.join(bounds.select("query", "n_words"), "query").groupBy("query").agg(F.max_by(F.struct((F.col("score") - F.col("host")).alias("base"), acceptable().alias("fit")), F.struct("score", -F.col("entity"))).alias("ahead"))
@@ -279,13 +286,12 @@ def top_pairs(queries: DataFrame, index: DataFrame, df: DataFrame, n: int, light
     sets = stored(sets, "sets")
     each = sets.groupBy("set").agg(F.first("terms").alias("terms")).select(F.col("set").alias("query"), F.explode("terms").alias("t")).select("query", "t.*")
     held = stored(brought(each.where(telling), index), "holders")
-    tidy(index.sparkSession)
     holders = held.select("query", "entity").distinct()
     places = holders.join(each.where(~telling), "query").join(index, ["entity", "term"]).select("query", "entity", "slot", (F.col("gain") * F.col("sat")).alias("got"), "sim")
     shared = of_slots(held.unionByName(places))
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "entity")
     shared = shared.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= TOP).drop("rank").withColumnRenamed("query", "set")
-    more = sets.select("query", "set").join(shared, "set").drop("set")
+    more = sets.select("query", "set").join(stored(shared, "shared"), "set").drop("set")
     # An entity met both ways keeps its full score.
     both = direct.unionByName(more.join(direct.select("query", "entity"), ["query", "entity"], "left_anti").select(direct.columns))
     ranked = both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= TOP)
@@ -408,7 +414,6 @@ def match(targets: DataFrame, people: DataFrame, reference: DataFrame, light: in
     t = stored(entities(raw).join(places, "country", "left").drop("country", "lkey"), "entities")
     q = stored(typed_profiles(people, places), "people")
     queries = q.groupBy("query").agg(*[F.first(c).alias(c) for c in ("mail", "words", "typed_host", "city", "country_ref")]).withColumns({"mail_core": core_of(F.col("mail")), "typed_core": core_of(F.col("typed_host"))})
-    tidy(t.sparkSession)
     index, df, n = inverted_index(t)
     pairs = stored(judged(top_pairs(queries, index, df, n, light), queries), "pairs")
     scored = pairs.withColumn("confidence", confidence(calibrate(pairs)))
