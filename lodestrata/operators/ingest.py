@@ -153,23 +153,88 @@ def merge_companies(held: DataFrame, new: DataFrame, texts: list[str], ints: lis
     return rows.drop("_d", "_l", "_sd", "_sl", "_n")
 
 
+def merge_people(held: DataFrame, new: DataFrame) -> DataFrame:
+    """The table after an import: people of a page, or of a mail address for new rows without a page, take what is new.
+
+    new: at most one row a page and, of those without one, a mail address; with company_id, tags, source,
+    source_tokens, industry_id, employee_count (text), company_linkedin_url, niche_tokens, custom_data, last_updated.
+    A row with a page never matches by mail. Company fields only replace what they supply; the country stays.
+    """
+    n = new.select(F.struct(*new.columns).alias("_n"))
+    page, mail = F.col("_n.linkedin_url"), F.lower("_n.email")
+    by_page = n.where(page.isNotNull()).groupBy(page.alias("linkedin_url")).agg(F.first("_n").alias("_p"))
+    by_mail = n.where(page.isNull() & mail.isNotNull()).groupBy(mail.alias("_mail")).agg(F.first("_n").alias("_m"))
+    rows = held.withColumn("_mail", F.lower("email")).join(by_page, "linkedin_url", "left").join(by_mail, "_mail", "left")
+    rows = rows.withColumn("_n", F.coalesce("_p", "_m"))
+    hit, of = F.col("_n").isNotNull(), lambda c: F.col(f"_n.{c}")
+    none = F.array().cast("array<string>")
+    count = F.when(of("employee_count").rlike("^[0-9]+$"), of("employee_count")).try_cast("int")
+    takes = {
+        "company_id": F.coalesce(of("company_id"), F.col("company_id")), "tags": F.when(hit, F.coalesce(of("tags"), none)).otherwise(F.col("tags")),
+        "source": F.when(hit, appended_source(F.col("source"), of("source"))).otherwise(F.col("source")),
+        "source_tokens": F.when(hit, F.array_distinct(F.concat(F.coalesce("source_tokens", none), F.coalesce(of("source_tokens"), none)))).otherwise(F.col("source_tokens")),
+        "industry_id": F.coalesce(of("industry_id"), F.col("industry_id")), "employee_count": F.coalesce(count, F.col("employee_count")), "company_linkedin_url": F.coalesce(of("company_linkedin_url"), F.col("company_linkedin_url")),
+        "niche_tokens": F.coalesce(of("niche_tokens"), F.col("niche_tokens")), "last_updated": F.when(hit, of("last_updated")).otherwise(F.col("last_updated")),
+        "custom_data": F.when(hit & (J.tag(J.parsed(of("custom_data"))) == "object"), F.to_json(merged_json(F.col("custom_data"), of("custom_data")))).otherwise(F.col("custom_data")),
+    }
+    return rows.withColumns(takes).select(held.columns)
+
+
+def canonicalised(df: DataFrame, tags: list[str], source_key: str) -> DataFrame:
+    """New rows with the columns the engine derives: country_id, industry_id, source_tokens, client and niche (of the import's tags)."""
+    tag = lambda i: F.lit(tags[i] if len(tags) > i else None).cast("string")
+    return df.withColumns({"country_id": C.country_id(F.col("country")), "industry_id": C.industry_id(F.col("industry")), "source_tokens": C.source_tokens(F.lit(source_key)), "client": tag(0), "niche": tag(1)})
+
+
+def update_payload(df: DataFrame, texts: list[str], ints: list[str], tags: list[str], source_key: str) -> DataFrame:
+    """df's keys with payload, a map of what an update supplies: filled texts and numbers, and ids derived from them alone.
+
+    A country or industry of nothing but blanks is supplied, but gives no id.
+    """
+    said = {c: F.when(F.col(c) != "", F.col(c)) for c in texts} | {c: C.or_null(F.col(c).cast("string")) for c in ints}
+    said |= {"country_id": C.country_id(C.or_null(F.col("country"))), "industry_id": C.industry_id(C.or_null(F.col("industry"))), "source": F.lit(source_key)}
+    said |= {k: F.lit(t) for k, t in zip(("client", "niche"), tags) if t}
+    pairs = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k), v)) for k, v in said.items()]))
+    return df.select(*[c for c in ("row_id", "id", "domain", "linkedin_url") if c in df.columns], F.map_from_entries(pairs).alias("payload"))
+
+
+def stale_columns(df: DataFrame) -> DataFrame:
+    """One row: how many rows' canonical columns differ from what their raw ones give; token lists are compared as sets."""
+    tokens = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    differ = lambda a, b: F.count_if(~a.eqNullSafe(b))
+    return df.agg(
+        differ(F.col("country_id"), C.country_id(F.col("country"))).alias("countries"), differ(F.col("industry_id"), C.industry_id(F.col("industry"))).alias("industries"),
+        F.count_if(tokens(F.col("source_tokens")) != tokens(C.source_tokens(F.col("source")))).alias("tokens"), F.count("*").alias("n"),
+    )
+
+
 def propagate(people: DataFrame, companies: DataFrame, clients: DataFrame) -> DataFrame:
     """People with what their company gives them: industry, head count, page, and its niche, else the niches of their tags.
 
-    clients(client) is joined as one array: names of clients are few by contract (10,000 at most; their array is
-    aggregated, not collected).
+    clients(client): names in lower case, of any number; the distinct tags are joined with them.
     """
     c = companies.select(F.col("id").alias("company_id"), F.col("industry_id").alias("c_i"), F.col("employee_count").alias("c_e"), F.col("linkedin_url").alias("c_l"), F.col("niche").alias("c_n"))
-    names = clients.agg(F.coalesce(F.collect_set("client"), F.array().cast("array<string>")).alias("_clients"))
-    j = people.join(c, "company_id", "left").crossJoin(F.broadcast(names))
+    j = with_niches(people.join(c, "company_id", "left"), clients)
     own = F.trim(F.coalesce("c_n", F.lit("")))
     j = j.withColumn("industry_id", F.coalesce("c_i", "industry_id")).withColumn("employee_count", F.coalesce("c_e", "employee_count")).withColumn("company_linkedin_url", F.coalesce("c_l", "company_linkedin_url"))
-    j = j.withColumn("niche_tokens", F.when(own != "", F.array(own)).otherwise(C.niches_from_tags(F.col("tags"), F.col("_clients"))))
-    return j.drop("c_i", "c_e", "c_l", "c_n", "_clients")
+    j = j.withColumn("niche_tokens", F.when(own != "", F.array(own)).otherwise(F.col("niches")))
+    return j.drop("c_i", "c_e", "c_l", "c_n", "niches")
+
+
+def with_niches(df: DataFrame, clients: DataFrame) -> DataFrame:
+    """df(id, tags, ...) with niches: those among its tags in their order; tags that name a client are none.
+
+    Lists of tags repeat, so distinct ones are looked up; tags and clients meet in a join, whatever their number.
+    """
+    lists = df.select("tags").where("tags IS NOT NULL").distinct().withColumn("_l", F.xxhash64("tags"))
+    each = lists.select("tags", F.explode("tags").alias("t")).select("tags", "t", F.lower(C.strip(F.col("t"))).alias("client"))
+    named = each.join(clients.select("client").distinct(), "client", "left_semi").groupBy("tags").agg(F.collect_set("client").alias("_named"))
+    niches = lists.select("tags").join(named, "tags", "left").select("tags", C.niches_from_tags(F.col("tags"), F.coalesce("_named", F.array().cast("array<string>"))).alias("niches"))
+    return df.join(niches, "tags", "left").withColumn("niches", F.coalesce("niches", F.array().cast("array<string>")))
 
 
 def upsert(held: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row a key, the latest by order; a new row beats a held one of the same time."""
+    """One row a key, the latest by order; a new row beats a held one of the same time, then the least row counts."""
     both = held.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order), F.desc("_new"))
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order), F.desc("_new"), F.to_json(F.struct(*[c for c in both.columns if c != "_new"])))
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")

@@ -71,11 +71,10 @@ def facet_counts_exclude_nulls(c, p, spark, d):
     return facets.company_facets(c, X.Filters(country=X.Choice(exclude=("US",)), source=X.Choice(exclude=("leadforge",))))
 
 
-@query("facet_counts_multi_filter", facet_sql("companies", {"industry": "industry_id IN ('law firms', 'dental practices', 'water treatment')", "email_status": "email_status IS NULL OR email_status NOT IN ('invalid')", "source": "coalesce(list_has_any(source_tokens, ['cardfile', 'expo-list']), FALSE)"}, "company_name ILIKE '%a%' AND employee_count BETWEEN 11 AND 500 AND coalesce(email, '') <> ''"))
+@query("facet_counts_multi_filter", facet_sql("companies", {"industry": "industry_id IN ('law firms', 'dental practices', 'water treatment')", "email_status": "email_status IS NULL OR email_status NOT IN ('invalid')", "source": "coalesce(list_has_any(source_tokens, ['cardfile', 'expo-list']), FALSE)"}, "(company_name ILIKE '%be%' OR domain ILIKE '%be%') AND employee_count BETWEEN 11 AND 500 AND coalesce(email, '') <> ''"))
 def facet_counts_multi_filter(c, p, spark, d):
-    f = X.Filters(search="a", employee_min=11, employee_max=500, email="not_empty", industry=X.Choice(("law firms", "dental practices", "water treatment")), email_status=X.Choice(exclude=("invalid",)), source=X.Choice(("cardfile", "expo-list")))
-    # The search also reads domains; every domain's company is asked for by name here.
-    return facets.counts(c, f, X.COMPANY_DIMENSIONS, ("company_name",))
+    f = X.Filters(search="be", employee_min=11, employee_max=500, email="not_empty", industry=X.Choice(("law firms", "dental practices", "water treatment")), email_status=X.Choice(exclude=("invalid",)), source=X.Choice(("cardfile", "expo-list")))
+    return facets.company_facets(c, f)
 
 
 @query("facet_counts_people", facet_sql("people", {"niche": "coalesce(list_has_any(niche_tokens, ['dental', 'solar']), FALSE)", "phone_type": "phone_type IN ('mobile')"}, arrays=PERSON_ARRAYS, columns=PERSON_SQL))
@@ -421,9 +420,9 @@ def industry_labels(c, p, spark, d):
     return c.where("industry_id IS NOT NULL").select("industry_id").distinct().withColumn("label", C.industry_label(F.col("industry_id")))
 
 
-@query("source_tokens", f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(coalesce(source, ''), '[,&]'), lambda t: lower({STRIP('t')})), lambda t: t <> ''))), '|') AS tokens FROM people")
+@query("source_tokens", f"SELECT id, array_to_string(list_transform(list_filter(list_transform(l, lambda t, i: {{'t': t, 'i': i}}), lambda e: e.t <> '' AND list_position(l, e.t) = e.i), lambda e: e.t), '|') AS tokens FROM (SELECT id, list_transform(regexp_split_to_array(coalesce(source, ''), '[,&]'), lambda t: lower({STRIP('t')})) AS l FROM people)")
 def source_tokens(c, p, spark, d):
-    return p.select("id", F.array_join(F.array_sort(C.source_tokens(F.col("source"))), "|").alias("tokens"))
+    return p.select("id", F.array_join(C.source_tokens(F.col("source")), "|").alias("tokens"))
 
 
 ACR = "CASE lower(w) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.ACRONYMS.items()) + " ELSE upper(w[1]) || w[2:] END"
@@ -434,11 +433,9 @@ def humanize_slug(c, p, spark, d):
     return c.where("niche IS NOT NULL").select("niche").distinct().withColumn("label", C.humanize_slug(F.col("niche")))
 
 
-@query("niches_from_tags", "WITH k AS (SELECT list(DISTINCT lower(trim(client))) AS names FROM companies WHERE client <> '') SELECT id, array_to_string(list_sort(list_distinct(list_filter(coalesce(tags, []), lambda t: NOT regexp_full_match(trim(t), '\\d{4}-\\d{2}-\\d{2}') AND NOT list_contains(names, lower(trim(t))) AND NOT starts_with(lower(trim(t)), 'campaign:')))), '|') AS niches FROM companies, k")
+@query("niches_from_tags", "WITH k AS (SELECT list(DISTINCT lower(trim(client))) AS names FROM companies WHERE client <> '') SELECT id, array_to_string(list_transform(list_filter(list_transform(coalesce(tags, []), lambda t, i: {'t': t, 'i': i}), lambda e: list_position(tags, e.t) = e.i AND NOT regexp_full_match(trim(e.t), '\\d{4}-\\d{2}-\\d{2}') AND NOT list_contains(names, lower(trim(e.t))) AND NOT starts_with(lower(trim(e.t)), 'campaign:')), lambda e: e.t), '|') AS niches FROM companies, k")
 def niches_from_tags(c, p, spark, d):
-    names = lists.known_clients(c).agg(F.collect_set("client").alias("names"))
-    j = c.select("id", "tags").crossJoin(F.broadcast(names))  # one row: the set of clients
-    return j.select("id", F.array_join(F.array_sort(C.niches_from_tags(F.col("tags"), F.col("names"))), "|").alias("niches"))
+    return ingest.with_niches(c.select("id", "tags"), lists.known_clients(c)).select("id", F.array_join("niches", "|").alias("niches"))
 
 
 @query("derive_full_name", "SELECT id, CASE WHEN trim(coalesce(full_name, '')) <> '' THEN full_name ELSE coalesce(nullif(concat_ws(' ', nullif(trim(first_name), ''), nullif(trim(last_name), '')), ''), full_name) END AS full_name FROM people")
@@ -464,12 +461,34 @@ def import_keys(df: DataFrame) -> DataFrame:
     return df.select("record_id", C.normalize_domain(F.col("domain")).alias("domain"), C.normalize_linkedin(F.col("linkedin_url"), "linkedin.example").alias("linkedin_url"))
 
 
-@query("dedupe_two_key")
+def kept_sql(source: str, order: str, keys: list[str]) -> str:
+    """Rows one after the other, each against the keys of those kept before: only rows that share a key with others need it."""
+    filled = ", ".join(f"'{k}:' || nullif({k}, '')" for k in keys)
+    return f"""WITH RECURSIVE t AS ({source}), e AS (SELECT {order} AS o, unnest(list_filter([{filled}], lambda x: x IS NOT NULL)) AS k FROM t),
+many AS (SELECT k FROM e GROUP BY k HAVING count(*) > 1), r AS (SELECT o, list(k) AS ks, row_number() OVER (ORDER BY o) AS i FROM e WHERE k IN (FROM many) GROUP BY o),
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS {'BIGINT' if order == 'record_id' else 'VARCHAR'}) AS o, CAST([] AS VARCHAR[]) AS seen, FALSE AS kept
+  UNION ALL SELECT r.i, r.o, CASE WHEN list_has_any(s.seen, r.ks) THEN s.seen ELSE list_concat(s.seen, r.ks) END, NOT list_has_any(s.seen, r.ks) FROM s JOIN r ON r.i = s.i + 1),
+kept AS (SELECT * FROM t WHERE {order} NOT IN (SELECT o FROM s WHERE NOT kept AND o IS NOT NULL))"""
+
+
+def page_sql(x: str) -> str:
+    return f"(SELECT CASE WHEN u LIKE 'linkedin.example/%' THEN 'https://www.' || u || '/' END FROM (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({STRIP(x)}), '^https?://', ''), '^(www\\.)?linkedin\\.example', 'linkedin.example'), '\\?.*$', '', 's'), '/$', '') AS u))"
+
+
+def keys_sql(table_: str, *more: str) -> str:
+    domain = f"nullif(split_part(regexp_replace(regexp_replace(lower({STRIP('domain')}), '^https?://', ''), '^www\\.', ''), '/', 1), '')"
+    return f"SELECT {', '.join([*more, f'{domain} AS domain', page_sql('linkedin_url') + ' AS linkedin_url'])} FROM {table_}"
+
+
+KEPT_INSERTS = kept_sql(keys_sql("step1_inserts", "record_id"), "record_id", ["domain", "linkedin_url"])
+
+
+@query("dedupe_two_key", f"{KEPT_INSERTS} SELECT record_id, domain, linkedin_url FROM kept")
 def dedupe_two_key(c, p, spark, d):
     return dedupe.keep_first(import_keys(table(spark, d, "step1_inserts")), "record_id", [F.col("domain"), F.col("linkedin_url")])
 
 
-@query("dedupe_people")
+@query("dedupe_people", kept_sql("SELECT id, linkedin_url, lower(email) AS email FROM people", "id", ["linkedin_url", "email"]) + " SELECT id, linkedin_url, email FROM kept")
 def dedupe_people(c, p, spark, d):
     return dedupe.keep_first(p.select("id", "linkedin_url", F.lower("email").alias("email")), "id", [F.col("linkedin_url"), F.col("email")])
 
@@ -479,7 +498,7 @@ def existing_keys(c, p, spark, d):
     return ingest.exists_in(table(spark, d, "step1_inserts").select(*INSERTS), c, ["domain", "linkedin_url"]).select("record_id", "exists")
 
 
-@query("preflight_counts")
+@query("preflight_counts", f"{KEPT_INSERTS}, h AS ({keys_sql('companies')}), x AS (SELECT coalesce(domain IN (SELECT domain FROM h WHERE domain <> ''), FALSE) OR coalesce(linkedin_url IN (SELECT linkedin_url FROM h WHERE linkedin_url <> ''), FALSE) AS known FROM kept) SELECT (SELECT count(*) FROM step1_inserts) AS input, count(*) AS kept, count(*) FILTER (NOT known) AS inserts, count(*) FILTER (known) AS updates FROM x")
 def preflight_counts(c, p, spark, d):
     held = c.select(C.normalize_domain(F.col("domain")).alias("domain"), C.normalize_linkedin(F.col("linkedin_url"), "linkedin.example").alias("linkedin_url"))
     return ingest.preflight(import_keys(table(spark, d, "step1_inserts")), held, "record_id", ["domain", "linkedin_url"])
@@ -507,21 +526,28 @@ def merge_custom_data(c, p, spark, d):
     return m.select("id", at("tier"), at("origin"), at("lead_score"))
 
 
-@query("merge_companies_snapshot", "WITH n AS (SELECT domain AS d, min_by(struct_pack(name := company_name, ind := industry, c := city), row_id) AS x FROM enrichment_aiark WHERE domain <> '' GROUP BY domain) SELECT id, coalesce(nullif(n.x.name, ''), company_name) AS company_name, coalesce(nullif(n.x.ind, ''), industry) AS industry, coalesce(nullif(n.x.c, ''), city) AS city FROM companies LEFT JOIN n ON nullif(companies.domain, '') = n.d")
+MERGED = {"company_name": "name", "industry": "ind", "city": "c"}
+
+
+@query("merge_companies_snapshot", f"""WITH n AS (SELECT domain AS d, min_by(struct_pack(name := company_name, ind := industry, c := city, n := employee_count), row_id) AS x FROM enrichment_aiark WHERE domain <> '' GROUP BY domain), j AS (SELECT companies.*, n.x, n.d IS NOT NULL AS hit FROM companies LEFT JOIN n ON nullif(companies.domain, '') = n.d)
+SELECT id, {', '.join(f"coalesce(nullif(x.{v}, ''), {k}) AS {k}" for k, v in MERGED.items())}, CASE WHEN hit AND regexp_full_match(x.n, '[0-9]+') THEN coalesce(try_cast(x.n AS INT), employee_count) ELSE employee_count END AS employee_count, CASE WHEN hit THEN 'tidewell,solar' ELSE array_to_string(tags, ',') END AS tags,
+  CASE WHEN NOT hit THEN source WHEN coalesce(source, '') = '' THEN 'cardfile' WHEN contains(source, 'cardfile') THEN source ELSE source || ',cardfile' END AS source, array_to_string(list_sort(list_distinct(CASE WHEN hit THEN coalesce(source_tokens, []) || ['cardfile'] ELSE source_tokens END)), ',') AS tokens,
+  CASE WHEN NOT hit THEN {js('tier')} WHEN {js('tier')} IS NULL OR {js('tier')} = 'gold' THEN 'gold' ELSE {js('tier')} || ', gold' END AS tier, {js('lead_score')} AS lead_score FROM j""")
 def merge_companies_snapshot(c, p, spark, d):
     e = table(spark, d, "enrichment_aiark").where("domain <> ''")
-    new = e.groupBy("domain").agg(F.min_by(F.struct("company_name", "industry", "city"), "row_id").alias("x")).select("domain", "x.*")
-    new = new.withColumn("linkedin_url", F.lit(None).cast("string"))
-    for col, kind in (("tags", "array<string>"), ("source", "string"), ("source_tokens", "array<string>"), ("custom_data", "string")):
-        new = new.withColumn(col, F.lit(None).cast(kind))
-    return ingest.merge_companies(c, new, ["company_name", "industry", "city"], []).select("id", "company_name", "industry", "city")
+    new = e.groupBy("domain").agg(F.min_by(F.struct(*MERGED, "employee_count"), "row_id").alias("x")).select("domain", "x.*")
+    count = F.when(F.col("employee_count").rlike("^[0-9]+$"), F.col("employee_count")).try_cast("int")
+    new = new.withColumns({"employee_count": count, "linkedin_url": F.lit(None).cast("string"), "tags": F.array(F.lit("tidewell"), F.lit("solar")), "source": F.lit("cardfile"), "source_tokens": F.array(F.lit("cardfile")), "custom_data": F.lit('{"tier": "gold"}')})
+    out = ingest.merge_companies(c, new, list(MERGED), ["employee_count"])
+    v = J.parsed(F.col("custom_data"))
+    tokens = F.array_join(F.array_sort(F.array_distinct("source_tokens")), ",").alias("tokens")
+    return out.select("id", *MERGED, "employee_count", F.array_join("tags", ",").alias("tags"), "source", tokens, J.text(J.value(v, "tier")).alias("tier"), J.text(J.value(v, "lead_score")).alias("lead_score"))
 
 
-@query("propagate_company_fields", "SELECT p.id, coalesce(c.industry_id, p.industry_id) AS industry_id, coalesce(c.employee_count, p.employee_count) AS employee_count, coalesce(c.linkedin_url, p.company_linkedin_url) AS company_linkedin_url, CASE WHEN trim(coalesce(c.niche, '')) <> '' THEN trim(c.niche) END AS niche FROM people p LEFT JOIN companies c ON c.id = p.company_id")
+@query("propagate_company_fields", "WITH k AS (SELECT list(DISTINCT lower(trim(client))) AS names FROM companies WHERE client <> ''), t AS (SELECT id, list_transform(list_filter(list_transform(coalesce(tags, []), lambda t, i: {'t': t, 'i': i}), lambda e: list_position(tags, e.t) = e.i AND NOT regexp_full_match(trim(e.t), '\\d{4}-\\d{2}-\\d{2}') AND NOT list_contains(names, lower(trim(e.t))) AND NOT starts_with(lower(trim(e.t)), 'campaign:')), lambda e: e.t) AS niches FROM people, k) SELECT p.id, coalesce(c.industry_id, p.industry_id) AS industry_id, coalesce(c.employee_count, p.employee_count) AS employee_count, coalesce(c.linkedin_url, p.company_linkedin_url) AS company_linkedin_url, CASE WHEN trim(coalesce(c.niche, '')) <> '' THEN trim(c.niche) ELSE array_to_string(t.niches, '|') END AS niches FROM people p JOIN t USING (id) LEFT JOIN companies c ON c.id = p.company_id")
 def propagate_company_fields(c, p, spark, d):
-    out = ingest.propagate(p.withColumn("_c", F.col("company_id")), c, lists.known_clients(c))
-    own = out.join(c.select(F.col("id").alias("_c"), F.col("niche").alias("_n")), "_c", "left")
-    return own.select("id", "industry_id", "employee_count", "company_linkedin_url", F.when(F.trim(F.coalesce("_n", F.lit(""))) != "", F.try_element_at("niche_tokens", F.lit(1))).alias("niche"))
+    out = ingest.propagate(p, c, lists.known_clients(c))
+    return out.select("id", "industry_id", "employee_count", "company_linkedin_url", F.array_join("niche_tokens", "|").alias("niches"))
 
 
 @query("stale_canonical_columns", f"SELECT count(*) FILTER (industry_id IS DISTINCT FROM nullif(regexp_replace(replace(lower({STRIP('industry')}), ';', ','), '{WS}+', ' ', 'g'), '')) AS industries, count(*) AS n FROM companies")
