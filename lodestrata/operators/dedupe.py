@@ -31,6 +31,8 @@ def keep_first(df: DataFrame, order: str, keys: list[Column], max_rounds: int =
         todo = stored(todo.join(hit, "_o", "left_anti"), "todo")
         if todo.isEmpty():
             break
+    else:
+        raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
     all_kept = kept[0]
     for more in kept[1:]:
         all_kept = all_kept.unionByName(more)

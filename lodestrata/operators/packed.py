@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +30,29 @@ DELIMITERS = {
 ANY_DELIMITER = r'[,，、;；|/&+>·•\t\r\n]|\s(?:and|or|und|y|et)\s|\s:\s'
 MAIL_DELIMITER = r'[,，、;；|/&<>·•{}\[\]()"\'\s]|mailto:'
 CODE_BITS = 16
-MAX_CODED = 64
+SPELT = 64  # longer values are known to the workers by their hash, so that the table of codes stays small
 ADDRESS = re.compile(r"[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)+")
 WRAPPED = re.compile(r"^\s*[\[{(](.*)[\]})]\s*$", re.S)
 
 
 def value_codes(values: DataFrame) -> dict[str, float]:
-    """Bits by value. values(value): one row per rough piece of the whole column."""
-    counts = values.where("value <> '' AND length(value) <= %d" % MAX_CODED).groupBy("value").agg(F.count("*").alias("n"))
+    """Bits by value (see code_key). values(value): one row per rough piece of the whole column."""
+    counts = values.where("value <> ''").groupBy("value").agg(F.count("*").alias("n"))
     total = values.agg(F.count("*").alias("total"))
-    rows = small_rows(counts.crossJoin(F.broadcast(total)).where(f"n >= 2 AND n * {2**CODE_BITS} >= total"), 2**CODE_BITS)
+    often = counts.crossJoin(F.broadcast(total)).where(f"n >= 2 AND n * {2**CODE_BITS} >= total")  # one row
+    key = F.when(F.length("value") <= SPELT, F.col("value")).otherwise(F.concat(F.lit("\0"), F.xxhash64("value").cast("string")))
+    rows = small_rows(often.select(key.alias("value"), "n", "total"), 2**CODE_BITS)
     return {r["value"]: -math.log2(r["n"] / r["total"]) for r in rows}
 
 
+def code_key(value: str) -> str:
+    """What a value is called in the table of codes: itself, or the hash that Spark gives it if it is long."""
+    if len(value) <= SPELT:
+        return value
+    h = xxhash.xxh64_intdigest(value.encode(), seed=42)
+    return f"\0{h - (1 << 64) if h >> 63 else h}"
+
+
 def rough_pieces(df: DataFrame, text: str, mail: bool = False) -> DataFrame:
     """Pieces at every delimiter there is, but for quoted ones kept whole: what the codes are learnt from.
 
@@ -73,9 +84,8 @@ def cut(text: str, pattern: re.Pattern | None, quoting: bool) -> tuple[list[str]
 
 
 def families(names: list[str]) -> list[tuple[str, ...]]:
-    """Candidate delimiter sets: all subsets of those present, or, of more than six, those of up to two and the whole."""
-    sizes = range(len(names) + 1) if len(names) <= 6 else (0, 1, 2, len(names))
-    return [s for k in sizes for s in combinations(names, k)]
+    """Candidate delimiter sets: all subsets of those present, the smaller ones first."""
+    return [s for k in range(len(names) + 1) for s in combinations(names, k)]
 
 
 class Reader:
@@ -105,13 +115,13 @@ class Reader:
                 at = piece.find(found[0])
                 formed = at > 0 and piece[:at].rstrip()[-1:] in "<:(" and not piece[at + len(found[0]) :].strip(" >)]\"'")
                 extra = 0 if rest <= 0 else 4 + 2 * rest if formed else 16 + 8 * rest
-                return value, self.codes.get(value, 8 + 4 * len(value)) + extra
+                return value, self.codes.get(code_key(value), 8 + 4 * len(value)) + extra
             return "", 16 + 8 * len(piece)
         quoted = len(piece) > 1 and piece[0] == piece[-1] == '"'
         value = piece.strip("\"'“”").strip().lower()
         if not value:
             return "", 2.0
-        return value, self.codes.get(value, CODE_BITS + 5 * len(value)) + 2 * quoted + (40 if '"' in value else 0)
+        return value, self.codes.get(code_key(value), CODE_BITS + 5 * len(value)) + 2 * quoted + (40 if '"' in value else 0)
 
     def parse(self, text: str) -> list[str]:
         """The values of a field in order, by its cheapest dialect; ties go to the fewer delimiters, then to their order."""
@@ -122,9 +132,13 @@ class Reader:
             body = m.group(1)
         quotes = body.count('"')
         best: tuple[float, list[str]] | None = None
-        names = [n for n, p in DELIMITERS.items() if re.search(p, body.strip())]
         for quoting in (True, False) if quotes % 2 else (quotes > 0,):
+            # Only delimiters outside quotes can cut.
+            open_ = re.sub(r'"[^"]*"', '"', body.strip()) if quoting else body.strip()
+            names = [n for n, p in DELIMITERS.items() if re.search(p, open_)]
             for chosen in families(names):
+                if best is not None and 3.0 * len(chosen) >= best[0]:
+                    break
                 pieces, n = cut(body, self.pattern(chosen), quoting)
                 bits, values = 3.0 * len(chosen) + n * math.log2(len(chosen) + 1), []
                 for p in pieces:

@@ -105,20 +105,47 @@ def class_shifts(cells: DataFrame, above: float = SHIFT_ABOVE) -> DataFrame:
     return own.groupBy("load_id", "column_name").agg(F.sum(F.greatest(F.col("p") - F.col("q"), F.lit(0.0))).alias("distance")).withColumn("shifted", F.col("distance") > above)
 
 
-def profile(cells: DataFrame) -> DataFrame:
-    """One row per load and column: counts, ranges, exact power sums and the standardised difference to the rest."""
-    num = F.col("number").cast("decimal(18,0)")
-    sums = cells.groupBy("load_id", "column_name").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(F.col("class") == "missing").alias("n_missing"),
-        F.count_if(F.col("class") == "bad").alias("n_bad"),
-        F.count_distinct(F.when(F.col("class") != "missing", F.col("value"))).alias("n_distinct"),
-        F.min(F.when(F.col("class") != "missing", F.col("value"))).alias("min_value"),
-        F.max(F.when(F.col("class") != "missing", F.col("value"))).alias("max_value"),
-        F.count(num).alias("s0"),
-        F.coalesce(F.sum(num), F.lit(0)).cast("decimal(38,0)").alias("s1"),
-        F.coalesce(F.sum((num * num).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("s2"),
+def value_counts(cells: DataFrame) -> DataFrame:
+    """load_id, column_name, value, class, number, n: distinct values. Those of two parts of a load are merged by adding n."""
+    return cells.groupBy("load_id", "column_name", "value", "class", "number").agg(F.count("*").alias("n"))
+
+
+def power_sums(counts: DataFrame) -> DataFrame:
+    """One row per load and column: counts, ranges and the exact power sums s0, s1, s2 of the numeric view.
+
+    counts: see value_counts. All but n_distinct of two parts merge by sum, min and max (merged_sums).
+    """
+    num, n = F.col("number").cast("decimal(18,0)"), F.col("n").cast("decimal(18,0)")
+    filled = F.when(F.col("class") != "missing", F.col("value"))
+    total = lambda c: F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    return counts.groupBy("load_id", "column_name").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(F.col("class") == "missing", F.col("n")).otherwise(0)).alias("n_missing"),
+        F.sum(F.when(F.col("class") == "bad", F.col("n")).otherwise(0)).alias("n_bad"),
+        F.count(filled).alias("n_distinct"),
+        F.min(filled).alias("min_value"),
+        F.max(filled).alias("max_value"),
+        F.sum(F.when(num.isNotNull(), F.col("n")).otherwise(0)).alias("s0"),
+        total(num * n).alias("s1"),
+        total((num * num).cast("decimal(38,0)") * n).alias("s2"),
     )
+
+
+def merged_sums(sums: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
+    """Power sums of parts merged into those of the whole. distinct(load_id, column_name, n_distinct): counted over the
+    merged value_counts, as the number of distinct values alone does not add up; null without it."""
+    add, top = ["n_rows", "n_missing", "n_bad", "s0", "s1", "s2"], F.max("max_value").alias("max_value")
+    out = sums.groupBy("load_id", "column_name").agg(*[F.sum(c).alias(c) for c in add], F.min("min_value").alias("min_value"), top)
+    for c in ("s1", "s2"):
+        out = out.withColumn(c, F.col(c).cast("decimal(38,0)"))
+    if distinct is None:
+        return out.withColumn("n_distinct", F.lit(None).cast("bigint"))
+    d = distinct.select(F.col("load_id").alias("_l"), F.col("column_name").alias("_c"), "n_distinct")
+    return out.join(d, F.col("load_id").eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")), "left").drop("_l", "_c")
+
+
+def described(sums: DataFrame) -> DataFrame:
+    """The profile that power sums give: means, deviations and the standardised difference to all other loads."""
     w = Window.partitionBy("column_name")
     for s in ("s0", "s1", "s2"):
         sums = sums.withColumn(f"r_{s}", (F.sum(s).over(w) - F.col(s)))
@@ -137,6 +164,14 @@ def profile(cells: DataFrame) -> DataFrame:
     )
 
 
+def profile(cells: DataFrame) -> DataFrame:
+    """One row per load and column: counts, ranges, means, deviations and the standardised difference to the rest.
+
+    Distinct values are grouped first, so a value that fills a third of the table costs one row a task.
+    """
+    return described(power_sums(value_counts(cells)))
+
+
 def quality_issues(df: DataFrame, load: str, key: str, rules: list[ColumnRule], above: float = SHIFT_ABOVE) -> DataFrame:
     """load_id, row_id, column_name, issue: every bad value, and every load whose class shares are shifted."""
     cells = classified(df, load, key, rules)

@@ -93,6 +93,7 @@ STYLE = re.compile(r"[.,'’\u00a0\u202f\u2009 ]")
 CONTEXT_MONEY = re.compile(r"(?:\b(?:revenue|turnover|figures|amounts?|sales|umsatz)\b[^.;]{0,60}?\bin)\s+([^.;]{1,60})", re.I)
 CONTEXT_PEOPLE = re.compile(r"(?:\b(?:headcount|employees|staff|employee numbers?|workforce)\b[^.;]{0,40}?\bin)\s+((?:tens|dozens|hundreds|thousands)\b)", re.I)
 BARE = re.compile(r"\d+")
+MOST = 2**63 - 1
 
 
 def read_number(text: str, scaled: bool, comma_decimal: bool = False) -> Q | None:
@@ -118,9 +119,10 @@ def read_number(text: str, scaled: bool, comma_decimal: bool = False) -> Q | Non
         if not decimal and not alike and not (last == "," and all(len(g) in (2, 3) for g in groups[1:])):
             return None
         whole, part = ("".join(groups[:-1]), tail) if decimal else ("".join(groups), "")
-    if len(whole) > 40 or len(power.lstrip("+")) > 2:
-        return None
-    return Q(int(whole + part), 10 ** len(part)) * 10 ** int(power or 0)
+    whole, part = whole.lstrip("0") or "0", part.rstrip("0")
+    if len(whole) > 4_000 or len(power.lstrip("+0")) > 3:
+        return Q(10**4_000)  # beyond any bound of the result
+    return Q(int(whole)) * 10 ** int(power or 0) + (Q(int(part[:4_000]), 10 ** len(part[:4_000])) * 10 ** int(power or 0) if part else 0)
 
 
 class Grammar:
@@ -191,8 +193,6 @@ class Grammar:
 
     def parse(self, text: str, context: Unit | None = None) -> tuple[int, int] | None:
         """Low and high (-1: open upwards) in canonical units, or None if the text states no amount."""
-        if len(text) > 200:
-            return None  # an amount is a short field; longer cells are prose
         tokens = self.lex(text)
         if not tokens:
             return None
@@ -310,7 +310,7 @@ def read_quantities(df: DataFrame, key: str, fields: list[str], context: str, ra
     """row_id, field_name, low_value, high_value of every stated amount that is not already a bare canonical number.
 
     Null, empty and wordy cells state no amount; ties and repeated rows are read alike; other columns of df are
-    never read. rates is small by contract (one row a currency, 10,000 at most; more raises an error).
+    never read. Amounts beyond the range of a bigint come out as its greatest value. rates is small by contract (one row a currency, 10,000 at most; more raises an error).
     """
     fx = {r[0]: Q(str(r[1])) for r in small_rows(rates.select("currency", "usd_per_unit").where("currency IS NOT NULL AND usd_per_unit IS NOT NULL"), 10_000)}
     fx.setdefault("USD", Q(1))
@@ -336,8 +336,8 @@ def read_quantities(df: DataFrame, key: str, fields: list[str], context: str, ra
                             memo.clear()
                         memo[f, text, unit] = g.parse(text, unit)
                     got = memo[f, text, unit]
-                    if got and max(got) < 2**63 and not (BARE.fullmatch(text) and unit is not None and got == (int(text), int(text))):
-                        rows.append((row, f, got[0], got[1]))
+                    if got and not (BARE.fullmatch(text) and unit is not None and len(text) < 30 and got == (int(text), int(text))):
+                        rows.append((row, f, min(got[0], MOST), min(got[1], MOST)))
             yield pd.DataFrame(rows, columns=["row_id", "field_name", "low_value", "high_value"])
 
     return df.select(key, context, *fields).mapInPandas(read, "row_id bigint, field_name string, low_value bigint, high_value bigint").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.operators import packed, profile, units
 from lodestrata.session import table
@@ -31,7 +32,19 @@ def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(profile.classified(table(spark, sf_dir, "enrichment_aiark"), "load_id", "row_id", rules))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_profile": p7_profile}
+def p7_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of two halves of the rows, kept apart until their sums are merged."""
+    rules = [profile.phone_rule(), profile.year_rule(), profile.website_rule(), *map(profile.text_rule, TEXTS)]
+    cells = profile.classified(table(spark, sf_dir, "enrichment_aiark"), "load_id", "row_id", rules)
+    odd = F.col("row_id") % 2 == 1
+    counts = [profile.value_counts(cells.where(part)) for part in (odd, ~odd)]
+    sums = profile.power_sums(counts[0]).unionByName(profile.power_sums(counts[1]))
+    every = counts[0].unionByName(counts[1]).groupBy("load_id", "column_name", "value", "class").agg(F.sum("n").alias("n"))
+    distinct = every.groupBy("load_id", "column_name").agg(F.count(F.when(F.col("class") != "missing", F.col("value"))).alias("n_distinct"))
+    return profile.described(profile.merged_sums(sums, distinct))
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_profile": p7_profile, "p7_merged": p7_merged}
 
 def _cells(columns: list[str]) -> str:
     return "cells AS (" + " UNION ALL ".join(f"SELECT load_id, row_id, '{c}' AS column_name, {c} AS v FROM enrichment_aiark" for c in columns) + ")"
@@ -75,3 +88,4 @@ SELECT load_id, CAST(row_id AS BIGINT) AS row_id, column_name, 'bad_value' AS is
 UNION SELECT load_id, CAST(0 AS BIGINT), column_name, 'shift' FROM f WHERE an > ln GROUP BY load_id, column_name
   HAVING sum(abs(n / ln - (kn - n) / (an - ln))) / 2 > 0.4""",
 }
+ORACLES["p7_merged"] = ORACLES["p7_profile"]
