@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -162,8 +161,3 @@ def time_ago(then: Column, now: Column) -> Column:
     for when, text in reversed(branches):
         out = text if out is None else F.when(when, text).otherwise(out)
     return F.when(then.isNotNull(), out)
-
-
-def network_host() -> str:
-    """The professional network's host (environment variable LODESTRATA_NETWORK, linkedin.com by default)."""
-    return os.environ.get("LODESTRATA_NETWORK", "linkedin.com")

@@ -1,7 +1,7 @@
 """Typed reads of JSON attributes, over VARIANT.
 
 Records are parsed once (parsed); keys are read by path from that column, so several predicates share one parse.
-A record that is no JSON object, or repeats a key, counts as one without attributes.
+A record that is no JSON object counts as one without attributes; of a repeated key the last value counts (session.expose).
 """
 
 from __future__ import annotations

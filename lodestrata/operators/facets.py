@@ -46,9 +46,13 @@ def person_facets(df: DataFrame, f: X.Filters | None = None) -> DataFrame:
     return counts(df, f or X.Filters(), X.PERSON_DIMENSIONS, ("full_name", "email"))
 
 
-def ranked(facets: DataFrame) -> DataFrame:
-    """Facets with the rank of each value in its facet: by count, then by id."""
-    return facets.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), "id")))
+def ranked(facets: DataFrame, top: int | None = None) -> DataFrame:
+    """Facets with the rank of each value in its facet: by count, then by id; of each facet the first top ones, if given.
+
+    With a limit every task keeps its own first values only, so a facet of any number of values costs little.
+    """
+    out = facets.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), "id")))
+    return out if top is None else out.where(F.col("rank") <= top)
 
 
 def top_and_other(facets: DataFrame, top: int = 5) -> DataFrame:
@@ -56,7 +60,7 @@ def top_and_other(facets: DataFrame, top: int = 5) -> DataFrame:
 
     Only the first ranks are asked of the window, so it keeps no more than these of any facet.
     """
-    first = ranked(facets).where(F.col("rank") <= top).select("dim", "id", "n")
+    first = ranked(facets, top).select("dim", "id", "n")
     total = facets.groupBy("dim").agg(F.sum("n").alias("total"))
     rest = total.join(first.groupBy("dim").agg(F.sum("n").alias("head")), "dim").select("dim", F.lit("other").alias("id"), (F.col("total") - F.col("head")).alias("n")).where("n > 0")
     both = first.unionByName(rest).groupBy("dim", "id").agg(F.sum("n").alias("n"))  # a value may itself be called other
@@ -69,8 +73,12 @@ def percent_of_max(facets: DataFrame, top: int = 6, least: float = 4.0) -> DataF
     return r.withColumn("percent", F.round(F.greatest(F.lit(least), F.col("n") * 100.0 / F.max("n").over(Window.partitionBy("dim"))), 6))
 
 
-def as_json(facets: DataFrame) -> DataFrame:
-    """One row a facet: its values as JSON [{id, count}], most frequent first."""
+def as_json(facets: DataFrame, top: int | None = None) -> DataFrame:
+    """One row a facet: its values as JSON [{id, count}], most frequent first; the first top ones, if given.
+
+    The whole of a facet is one text, so facets of many values need a limit.
+    """
+    facets = facets if top is None else ranked(facets, top)
     items = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "id")))
     one = facets.groupBy("dim").agg(items.alias("v"))
     return one.select("dim", F.to_json(F.transform("v", lambda x: F.struct(x["id"].alias("id"), (-x["k"]).alias("count")))).alias("values"))

@@ -106,6 +106,12 @@ def exists_in(df: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("exists", flag).drop(*[f"_in_{k}" for k in keys])
 
 
+def import_keys(df: DataFrame, keep: list[str], host: str = "linkedin.com") -> DataFrame:
+    """The identity of rows to import: keep, domain (of the domain, else the website; none of a host that many share) and page."""
+    at = F.coalesce(C.normalize_domain(F.col("domain")), C.normalize_domain(F.col("website_url")))
+    return df.select(*keep, C.scrub_junk(at).alias("domain"), C.normalize_linkedin(F.col("linkedin_url"), host).alias("linkedin_url"))
+
+
 def preflight(df: DataFrame, held: DataFrame, order: str, keys: list[str]) -> DataFrame:
     """One row: input, deduped (kept), new (insert), known (update) of an import, before it is done."""
     kept = exists_in(keep_first(df, order, [F.col(k) for k in keys]), held, keys)

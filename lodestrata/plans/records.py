@@ -9,7 +9,7 @@ from lodestrata.functions import canonical as C
 from lodestrata.functions import jsonval as J
 from lodestrata.operators import discovery, ingest, lists, payloads, records
 from lodestrata.operators import filters as X
-from lodestrata.plans.reference import ALIAS_SQL, KV, LIST_SQL, PUSHES, STRIP, WS, js, pushes_of, query
+from lodestrata.plans.reference import ALIAS_SQL, KV, LIST_SQL, PUSHES, STRIP, WS, js, page_sql, pushes_of, query
 from lodestrata.session import table
 
 
@@ -121,6 +121,11 @@ def link_people_by_domain(c, p, spark, d):
     return records.link_by_domain(p, c).select("id", "company_id")
 
 
+@query("import_identities", f"SELECT record_id, CASE WHEN dom NOT IN ({', '.join(f"'{j}'" for j in C.JUNK_DOMAINS)}) THEN dom END AS domain, {page_sql('linkedin_url')} AS linkedin_url FROM (SELECT *, coalesce({domain_sql('domain')}, {domain_sql('website_url')}) AS dom FROM step1_inserts)")
+def import_identities(c, p, spark, d):
+    return ingest.import_keys(table(spark, d, "step1_inserts"), ["record_id"], "linkedin.example")
+
+
 NEW_PEOPLE = """n AS (SELECT linkedin_url AS l, min(id) AS nid, NULL AS m FROM people WHERE linkedin_url IS NOT NULL AND phone IS NOT NULL GROUP BY 1
   UNION ALL SELECT NULL, min(id), lower(email) FROM people WHERE linkedin_url IS NULL AND email IS NOT NULL GROUP BY lower(email))"""
 

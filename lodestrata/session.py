@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 def expose(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it.
 
-    It suffices where executors see the driver's folders; elsewhere install the package or pass it by --py-files.
+    Also sets how repeated keys of JSON records are read. It suffices where executors see the driver's folders; elsewhere install the package or pass it by --py-files.
     """
+    # A record that repeats a key keeps the last of its values.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -6,7 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import dedupe, ingest, packed, payloads, profile, records, units
+from lodestrata import session
+from lodestrata.functions import jsonval as J
+from lodestrata.operators import dedupe, facets, ingest, packed, payloads, profile, records, units
 from lodestrata.plans import records as plans
 from lodestrata.plans.reference import ORACLES, QUERIES
 
@@ -141,6 +143,15 @@ def test_dedupe_never_drops_silently(spark):
         dedupe.keep_first(df, "o", keys, max_rounds=1)
 
 
+def test_repeated_keys_and_limits(spark):
+    session.expose(spark)
+    df = spark.createDataFrame([('{"a": 1, "a": "two"}',)], "custom_data string")
+    assert df.select(J.text(J.value(J.parsed(F.col("custom_data")), "a")).alias("a")).first()["a"] == "two"
+    n = spark.createDataFrame([("d", "x", 3), ("d", "y", 3), ("d", "z", 9), ("e", "x", 1)], "dim string, id string, n bigint")
+    assert sorted((r["dim"], r["id"], r["rank"]) for r in facets.ranked(n, 2).collect()) == [("d", "x", 2), ("d", "z", 1), ("e", "x", 1)]
+    assert {r["dim"]: r["values"] for r in facets.as_json(n, 1).collect()} == {"d": '[{"id":"z","count":9}]', "e": '[{"id":"x","count":1}]'}
+
+
 def test_upsert_ties(spark):
     rows = [("k", 1, "b"), ("k", 1, "a")]
     new = spark.createDataFrame(rows, "k string, t int, v string")
