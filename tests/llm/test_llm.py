@@ -2,12 +2,13 @@
 
 import base64
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import byte_bpe, canonical_list, entity_match, history_dedupe, leakage, nonprose, template_residue
+from lodestrata.llm import byte_bpe, canonical_list, entity_match, history_dedupe, leakage, nonprose, queries, template_residue
 
 REF = "ref_id bigint, kind string, label string, code string, note string"
 REFS = [(1, "country", "United States", "US", None), (2, "country", "Niger", "NE", None), (3, "country", "Nigeria", "NG", None), (4, "country", "Austria", "AT", None), (5, "country", "Australia", "AU", None), (6, "country", "Japan", "JP", None),
@@ -325,6 +326,21 @@ def test_entity_names_in_part(spark):
     assert sorted((r["aiark_row_id"], r["salesnav_row_id"]) for r in got.collect()) == [(1, 11), (2, 12), (3, 13), (4, 14)]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the test tables are not there")
+def test_registered_queries(spark):
+    """Every query runs over whole tables, gives distinct rows of the stated columns and the same ones twice."""
+    columns = {
+        "p1_found": ["person_id", "field_key"], "p2_found": ["table_name", "row_id", "field_name", "ref_id"], "p3_found": ["record_id_a", "record_id_b"], "p5_found": ["aiark_row_id", "salesnav_row_id"],
+        "p5_companies": ["salesnav_row_id", "entity", "confidence"], "p8_ids": ["doc_id", "ids"], "p9_found": ["item_id", "doc_id"], "p10_found": ["doc_id"],
+    }
+    assert set(columns) == set(queries.QUERIES)
+    for name, want in columns.items():
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert sorted(df.columns) == sorted(want), name
+        rows = [repr(r) for r in df.collect()]
+        assert rows and len(set(rows)) == len(rows), name
+
+
 def test_undecided_rows_are_not_dropped(spark):
     rows = spark.createDataFrame([(1, "d1", None), (2, "d1", "p1"), (3, None, "p1")], "record_id bigint, dkey string, lkey string")
     rows = rows.select(*[c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in history_dedupe.COLUMNS])
