@@ -369,15 +369,22 @@ def discover_types(c, p, spark, d):
     return discovery.key_types(discovery.attributes(p))
 
 
-@query("discover_values", f"WITH {KV}, one AS (SELECT key, s AS value FROM typed WHERE type NOT IN ('Empty', 'List') AND t <> 'OBJECT' UNION ALL SELECT key, json_extract_string(e, '$') FROM (SELECT key, unnest(CAST(v AS JSON[])) AS e FROM typed WHERE type = 'List')), n AS (SELECT key, value, count(*) AS n FROM one WHERE trim(value, ' ') NOT IN ('', '-') AND NOT regexp_full_match(value, '\\{{\\{{.*\\}}\\}}', 's') GROUP BY ALL) SELECT key, value, n, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS r FROM n) WHERE r <= 25")
+# Objects as VARIANT prints them: keys in order, no blanks.
+OBJECT = "'{' || array_to_string(list_transform(list_sort(json_keys(v)), lambda k: '\"' || k || '\":' || CAST(json(json_extract(v, '$.\"' || k || '\"')) AS VARCHAR)), ',') || '}'"
+ONE = f"one AS (SELECT key, CASE WHEN t = 'OBJECT' THEN {OBJECT} ELSE s END AS value FROM typed WHERE type NOT IN ('Empty', 'List') UNION ALL SELECT key, json_extract_string(e, '$') FROM (SELECT key, unnest(CAST(v AS JSON[])) AS e FROM typed WHERE type = 'List')), vn AS (SELECT key, value, count(*) AS n FROM one WHERE trim(value, ' ') NOT IN ('', '-') AND NOT regexp_full_match(value, '\\{{\\{{.*\\}}\\}}', 's') GROUP BY ALL), vr AS (SELECT key, value, n, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS r FROM vn)"
+
+
+@query("discover_values", f"WITH {KV}, {ONE} SELECT key, value, n, CAST(r AS INT) AS rank FROM vr WHERE r <= 25")
 def discover_values(c, p, spark, d):
-    # Objects print differently in the two engines' JSON; their texts are left to discover_fields.
-    return discovery.key_values(discovery.attributes(p).where(J.tag(F.col("value")) != "object"))
+    return discovery.key_values(discovery.attributes(p))
+
+
+PERSON_KV = KV.replace("'company_type')", "'company_type', 'company_linkedin_id', 'connections_count', 'apollo_id')")
 
 
-@query("discover_fields")
+@query("discover_fields", f"WITH {PERSON_KV}, {ONE}, tn AS (SELECT key, type, count(*) AS n FROM typed GROUP BY ALL), tr AS (SELECT key, CASE WHEN type = 'Empty' THEN 'Text' ELSE type END AS type, row_number() OVER (PARTITION BY key ORDER BY type = 'Empty', n DESC, type) AS r FROM tn) SELECT tr.key, type, coalesce((SELECT string_agg(value, '|' ORDER BY vr.r) FROM vr WHERE vr.key = tr.key AND vr.r <= 25), '') AS samples FROM tr WHERE tr.r = 1")
 def discover_fields(c, p, spark, d):
-    return discovery.discover(p, C.PERSON_BLOCKED_KEYS)
+    return discovery.discover(p, C.PERSON_BLOCKED_KEYS).select("key", "type", F.array_join("sample_values", "|").alias("samples"))
 
 
 # -- canonical values ----------------------------------------------------------------------------------------------------
@@ -408,7 +415,7 @@ def normalize_country(c, p, spark, d):
     return c.select("id", C.country_id(F.col("country")).alias("country"))
 
 
-@query("country_labels")
+@query("country_labels", "SELECT DISTINCT country_id, CASE code WHEN 'HK' THEN 'Hong Kong SAR China' WHEN 'TR' THEN 'Turkey' ELSE label END AS label FROM companies JOIN ref_items ON code = country_id")
 def country_labels(c, p, spark, d):
     known = table(spark, d, "ref_items").where("code IS NOT NULL").select(F.col("code").alias("country_id"))
     used = c.where("country_id IS NOT NULL").select("country_id").distinct().join(known, "country_id", "left_semi")
