@@ -42,6 +42,7 @@ SATURATED = 5.0  # a gap that counts as full
 NAME_FLOOR = 0.7  # the share of a typed name's words that must fit, unless the host does
 LABELLED = 20_000
 ACCEPT = 0.4
+NO_GAP = 0.002  # of a full gap: entities so near to each other are alike
 # What people add to the name of their employer.
 ADDED = r"(?i)\s*(?:\|.*|\((?:part|full)[- ]time\)|\((?:self|freelance|contract)[^)]*\)|\s-\s(?:[A-Z]{2}|[A-Z][a-z]+)$|[®™©]|we'?re hiring.*)\s*$"
 NOBODY = r"^(?:confidential|self[- ]?employed|freelanc\w*|independent(?: consultant)?|stealth.*|private|unemployed|retired|n/?a|none|unknown|various|-)$"
@@ -361,12 +362,15 @@ def calibrate(pairs: DataFrame) -> Calibration:
     # Agreement never speaks against a match, nor disagreement for it.
     sign = np.array([1, 1, -1, 1, -1, 1])
     w[:-1] = np.where(w[:-1] * sign > 0, w[:-1], 0.0)
-    sure = x @ w[:-1] + w[-1] > 2
+    # How often a match has another domain is measured where all else agrees: elsewhere namesakes would count as matches.
+    f = dict(zip(FEATURES, x.T))
+    sure = (f["name"] >= 1) & (f["city_same"] > 0) & (f["country_other"] == 0) & (f["gap"] >= 1)
     share = lambda hits, of: (float(hits.sum()) + 1) / (float(of.sum()) + 2)
     same = share(sure & (y > 0), sure)
+    unlike = math.log(1 - same) if sure.sum() >= 50 else Calibration.unlike
     named = x[:, 0] >= NAME_FLOOR
     a, b = share(named & (y > 0) & (fits > 0), named & (y > 0)), share(named & (y == 0) & (fits > 0), named & (y == 0))
-    return Calibration(tuple(map(float, w)), math.log(1 - same), max(0.0, math.log(a / b)), min(0.0, math.log((1 - a) / (1 - b))))
+    return Calibration(tuple(map(float, w)), unlike, max(0.0, math.log(a / b)), min(0.0, math.log((1 - a) / (1 - b))))
 
 
 def confidence(c: Calibration) -> Column:
@@ -417,7 +421,7 @@ def match(targets: DataFrame, people: DataFrame, reference: DataFrame, light: in
     index, df, n = inverted_index(t)
     pairs = stored(judged(top_pairs(queries, index, df, n, light), queries), "pairs")
     scored = pairs.withColumn("confidence", confidence(calibrate(pairs)))
-    fits = F.col("mail_same") | (F.col("name") >= NAME_FLOOR)
+    fits = F.col("mail_same") | ((F.col("name") >= NAME_FLOOR) & (F.col("gap") > NO_GAP))
     good = scored.where(F.col("mutual") & fits & (F.col("confidence") >= ACCEPT)).select("query", "entity", "confidence")
     return Matches(good, q.select(F.col("row_id").alias("salesnav_row_id"), "query"), t.select(F.col("row_id").alias("aiark_row_id"), "entity"))
 
