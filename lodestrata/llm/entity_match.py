@@ -412,6 +412,7 @@ def match(targets: DataFrame, people: DataFrame, reference: DataFrame, light: in
     Rows without a name, domain and mail match nothing; null places neither agree nor disagree; of several entities
     alike in everything (no gap) none is chosen; repeated rows stand for one query. Empty tables give no matches.
     """
+    tidy(targets.sparkSession)
     raw = stored(prepared_targets(targets), "targets")
     places = countries(raw.select("country").unionByName(people.select("country")), reference).where("country_ref > 0")
     places = stored(places, "countries")  # distinct spellings
