@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +195,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
                         last = s
                         for f, b in zip(BINS, x):
                             c[f"bin/{STATES[s]}/{f}/{b}"] += 1
-            yield pd.DataFrame(list(c.items()), columns=["what", "n"]) if c else pd.DataFrame({"what": [], "n": []})
+            # A task may see no document with words; an empty frame would have no types.
+            if c:
+                yield pd.DataFrame(list(c.items()), columns=["what", "n"])
 
         counts = some.mapInPandas(count, "what string, n bigint")
         model = Model({r["what"]: r["n"] for r in counts.groupBy("what").agg(F.sum("n").alias("n")).collect()})
@@ -209,17 +212,19 @@ def label_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, key, text, rounds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
+            for t in batch.column("text").to_pylist():
                 by = [0] * len(STATES)
                 for s, n, _ in m.label(t):
                     by[s] += n
                 total = sum(by)
-                rows.append((d, total, total - by[0], STATES[int(np.argmax(by))] if total else None, 2 * (total - by[0]) > total))
-            yield pd.DataFrame(rows, columns=["doc_id", "words", "nonprose", "kind", "flagged"])
+                rows.append((total, total - by[0], STATES[int(np.argmax(by))] if total else None, 2 * (total - by[0]) > total))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "words", "nonprose", "kind", "flagged"])
 
+    # Batches stay in Arrow, as pandas would make floats of ids beside a null one.
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.make_valid_utf8(text).alias("text"))
-    return src.mapInPandas(run, "doc_id bigint, words bigint, nonprose bigint, kind string, flagged boolean")
+    return src.mapInArrow(run, "doc_id bigint, words bigint, nonprose bigint, kind string, flagged boolean")

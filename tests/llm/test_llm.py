@@ -155,6 +155,19 @@ def test_nonprose(spark):
     assert nonprose.label_pages(docs.limit(0)).count() == 0
 
 
+def test_nonprose_tasks_without_words(spark):
+    few = spark.createDataFrame([(1, PROSE), (2, ""), (3, None)], "doc_id bigint, text string").repartition(8)
+    assert sorted((r["doc_id"], r["flagged"]) for r in nonprose.label_pages(few).collect()) == [(1, False), (2, False), (3, False)]
+    bare = spark.createDataFrame([(1, " "), (2, None)], "doc_id bigint, text string")
+    assert [r["words"] for r in nonprose.label_pages(bare).collect()] == [0, 0]
+
+
+def test_nonprose_ids_beside_a_null(spark):
+    ids = [2**60 + 1, 2**63 - 1, None]
+    docs = spark.createDataFrame([(i, PROSE) for i in ids], "doc_id bigint, text string").coalesce(1)
+    assert [r["doc_id"] for r in nonprose.label_pages(docs).collect()] == ids
+
+
 def test_long_page():
     assert len(nonprose.Model().label("word " * 200_000)) == 1 and len(nonprose.Model().label("a b c.\n" * 20_000)) == 20_000
 
