@@ -5,9 +5,9 @@ the Viterbi path labels it as prose, stuffed search terms, link list, tag list,
 is flagged when more than half of its words lie in segments that are not prose.
 
 The model starts from the states' definitions (fixed values below, weighted as pseudo-counts) and is then
-trained by hard expectation-maximisation on TRAINED documents, those with the least hash of their ids: workers label
-these texts and count, the counts (a table of states by features by bins, whatever the corpus) are summed, and the
-next labelling uses them. All documents are labelled, whole, by the trained model.
+trained by hard expectation-maximisation on all documents. Texts are read once: of each segment its number of words and
+its features, as one small number, are stored. Workers label these and count, the counts (a table of states by
+combinations of bins, whatever the corpus) are summed, and the next labelling uses them.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import stored
+
 STATES = ("prose", "stuffed", "links", "tags", "menu", "products")
 # Frequent function words of the corpus's four languages.
 FUNCTION_WORDS = frozenset(
@@ -38,7 +40,7 @@ SEPARATOR = re.compile(r"\s[|/»›>·•–-]\s|[|»›·•;,]\s?|\s{2,}|\t")
 CODE = re.compile(r"^(?=.*\d)(?=.*[A-Za-z-])[\w-]+$")
 INNER = re.compile(r"[|»›·•;,\t]|\s[/>–-]\s|\s\s")
 MARK = re.compile(r"^(?:[-*•]|\d+[.)])\s+")
-END = re.compile(r"[.!?…:»\"”)]\s*\Z")
+ENDS = frozenset('.!?…:»"”)')
 EDGES = ".,;:!?()[]{}\"'«»“”|#*"
 STRIP = lambda t: t.strip(EDGES)
 DIGIT = re.compile(r"\d")
@@ -53,8 +55,14 @@ START = {
     "products": {"url": (96, 2, 1, 1), "hash": (98, 1, 1), "stop": (94, 4, 1, 1), "item": (60, 15, 15, 10), "repeat": (60, 20, 10, 10), "code": (3, 17, 80), "end": (94, 6)},
 }
 STAY = 0.8
-PRIOR = 2_000.0
-TRAINED = 20_000
+# The definition weighs as much as so many documents, or as this share of those counted if that is more: training on
+# more documents knows the shares better, but must not drown the definition.
+PRIOR, PRIOR_SHARE = 2_000.0, 0.1
+SEEN = list(product(*map(range, BINS.values())))
+CODES = {x: i for i, x in enumerate(SEEN)}
+# Counts in one row: starts by state, moves by both states, segments by state and combination of bins.
+SHAPES = ((len(STATES),), (len(STATES), len(STATES)), (len(STATES), len(SEEN)))
+CUTS = np.cumsum([0] + [int(np.prod(x)) for x in SHAPES])
 
 
 def segments(text: str) -> list[str]:
@@ -118,89 +126,130 @@ def observe(segment: str, words: list[str], often: set[str]) -> tuple[int, ...]:
         0 if short > 8 else 1 if short > 5 else 2 if short > 2 else 3,
         level(repeat / n, 0.12, 0.3, 0.5),
         2 if first and codes > 0.15 else 1 if codes > 0 else 0,
-        int(bool(END.search(segment))),
+        int(segment.rstrip()[-1] in ENDS),
     )
 
 
+def read(text: str | None) -> tuple[list[int], list[int]]:
+    """Of each segment with words: its features' code and its number of words."""
+    if not text:
+        return [], []
+    parts = [(s, w) for s in segments(text) if (w := words_of(s))]
+    page = Counter()
+    for _, w in parts:
+        page.update(w)
+    # Words that the page repeats far more than prose does; function words never count.
+    least = max(3.0, 0.02 * page.total())
+    often = {t for t, k in page.items() if k > least} - FUNCTION_WORDS
+    return [CODES[observe(s, w, often)] for s, w in parts], [len(w) for _, w in parts]
+
+
 class Model:
-    """Log probabilities of starts, transitions and bins."""
+    """Log probabilities of starts, transitions and combinations of bins."""
 
-    def __init__(self, counts: dict[str, float] | None = None):
+    def __init__(self, counts: np.ndarray | None = None):
         k = len(STATES)
-        counts = counts or {}
+        begun, moved, seen = (np.zeros(x) if counts is None else counts[i:j].reshape(x) for x, i, j in zip(SHAPES, CUTS, CUTS[1:]))
+        prior = max(PRIOR, PRIOR_SHARE * begun.sum())
         move = np.full((k, k), (1 - STAY) / (k - 1))
         np.fill_diagonal(move, STAY)
-        move = move * PRIOR + np.array([[counts.get(f"move/{a}/{b}", 0.0) for b in STATES] for a in STATES])
-        begin = np.array([0.5] + [0.1] * (k - 1)) * PRIOR + np.array([counts.get(f"begin/{a}", 0.0) for a in STATES])
-        self.move, self.begin = np.log(move / move.sum(1, keepdims=True)), np.log(begin / begin.sum())
-        self.move_to = np.ascontiguousarray(self.move.T)
-        self.cache: dict[tuple[int, ...], np.ndarray] = {}  # at most as many entries as there are combinations of bins
-        self.emit = []
-        for f, size in BINS.items():
-            p = np.array([START[s][f] for s in STATES]) / 100 * PRIOR + np.array([[counts.get(f"bin/{s}/{f}/{b}", 0.0) for b in range(size)] for s in STATES])
+        move = move * prior + moved
+        begin = np.array([0.5] + [0.1] * (k - 1)) * prior + begun
+        self.begin = np.log(begin / begin.sum())
+        self.move_to = np.ascontiguousarray(np.log(move / move.sum(1, keepdims=True)).T)
+        self.emit = np.zeros((len(SEEN), k))
+        for i, (f, size) in enumerate(BINS.items()):
+            bins = np.array([x[i] for x in SEEN])
+            p = np.array([START[s][f] for s in STATES]) / 100 * prior + np.stack([seen[:, bins == b].sum(1) for b in range(size)], 1)
             # However much is counted, a state keeps half of its definition.
             own = np.array([START[s][f] for s in STATES], float)
             p = 0.5 * p / p.sum(1, keepdims=True) + 0.5 * own / own.sum(1, keepdims=True)
-            self.emit.append(np.log(p).T)
-
-    def viterbi(self, seen: list[tuple[int, ...]]) -> list[int]:
-        cache = self.cache
-        best, back = None, []
-        for x in seen:
-            if x not in cache:
-                cache[x] = sum(e[b] for e, b in zip(self.emit, x))
-            if best is None:
-                best = self.begin + cache[x]
-                continue
-            ways = self.move_to + best
-            back.append(ways.argmax(1))
-            best = ways.max(1) + cache[x]
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
+            self.emit += np.log(p).T[bins]
+
+    def viterbi(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The states of the segments of many documents, one after the other. starts: where each begins, and the end; none is empty.
+
+        All documents take a step at once, the longest first, so those that go on are always the first.
+        """
+        lengths = np.diff(starts)
+        order = np.argsort(-lengths, kind="stable")
+        at, left = starts[:-1][order], -lengths[order]
+        path = np.empty(len(codes), np.int8)
+        if not len(at):
+            return path
+        best, last, back = self.begin + self.emit[codes[at]], [], []
+        for t in range(1, -left[0]):
+            n = int(np.searchsorted(left, -t))
+            last.append(best[n:].argmax(1))  # of those that end here
+            ways = best[:n, None, :] + self.move_to
+            back.append(ways.argmax(2).astype(np.int8))
+            best = ways.max(2) + self.emit[codes[at[:n] + t]]
+        state = best.argmax(1)
+        for t in range(-left[0] - 1, 0, -1):
+            n = len(state)
+            path[at[:n] + t] = state
+            state = np.concatenate([back[t - 1][np.arange(n), state], last[t - 1]])
+        path[at] = state
+        return path
 
     def label(self, text: str | None) -> list[tuple[int, int, tuple[int, ...]]]:
         """(state, words, features) of each segment with words."""
-        if not text:
-            return []
-        parts = [(s, w) for s in segments(text) if (w := words_of(s))]
-        if not parts:
-            return []
-        page = Counter(t for _, w in parts for t in w)
-        # Words that the page repeats far more than prose does; function words never count.
-        least = max(3.0, 0.02 * page.total())
-        often = {t for t, k in page.items() if k > least} - FUNCTION_WORDS
-        seen = [observe(s, w, often) for s, w in parts]
-        return [(k, len(w), x) for k, (_, w), x in zip(self.viterbi(seen), parts, seen)]
-
-
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 1, most: int = TRAINED) -> Model:
-    """The model after so many rounds of labelling and counting over at most so many documents, the same at every run."""
+        codes, words = read(text)
+        path = self.viterbi(np.array(codes, np.int64), np.array([0, len(codes)] if codes else [0]))
+        return [(int(k), n, SEEN[c]) for k, n, c in zip(path, words, codes)]
+
+
+def observed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, codes, words: the features' codes and numbers of words of a document's segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, words, ends = [], [], [0]
+            for t in batch.column("text").to_pylist():
+                c, w = read(t)
+                codes += c
+                words += w
+                ends.append(len(codes))
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, kind))) for x, kind in ((codes, np.int16), (words, np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "codes", "words"])
+
+    # Batches stay in Arrow, as pandas would make floats of ids beside a null one.
+    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.make_valid_utf8(text).alias("text"))
+    return src.mapInArrow(run, "doc_id bigint, codes array<smallint>, words array<int>")
+
+
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists without nulls, one after the other, and where each begins, and the end."""
+    offsets = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(), offsets - offsets[0]
+
+
+def train(seen: DataFrame, rounds: int = 1) -> Model:
+    """The model after so many rounds of labelling and counting over all documents that observed() gave."""
     model = Model()
-    # The ids alone tell which documents are read; copies under one id count as one.
-    h = F.xxhash64(F.col(key))
-    last = docs.select(h.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0] if rounds else None
-    some = docs.where(F.col(text).isNotNull() & (h <= F.lit(last))).select(F.make_valid_utf8(text).alias("text"))
     for _ in range(rounds):
-        held = docs.sparkSession.sparkContext.broadcast(model)
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m, c = held.value, Counter()
-            for pdf in batches:
-                for t in pdf["text"]:
-                    last = None
-                    for s, _, x in m.label(t):
-                        c[f"begin/{STATES[s]}" if last is None else f"move/{STATES[last]}/{STATES[s]}"] += 1
-                        last = s
-                        for f, b in zip(BINS, x):
-                            c[f"bin/{STATES[s]}/{f}/{b}"] += 1
-            # A task may see no document with words; an empty frame would have no types.
-            if c:
-                yield pd.DataFrame(list(c.items()), columns=["what", "n"])
-
-        counts = some.mapInPandas(count, "what string, n bigint")
-        model = Model({r["what"]: r["n"] for r in counts.groupBy("what").agg(F.sum("n").alias("n")).collect()})
+        held = seen.sparkSession.sparkContext.broadcast(model)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, k = held.value, len(STATES)
+            sums = np.zeros(CUTS[-1], np.int64)
+            for batch in batches:
+                codes, starts = flat(batch.column("codes"))
+                starts = np.unique(starts)
+                path = m.viterbi(codes, starts).astype(np.int64)
+                inner = np.ones(len(path), bool)
+                inner[starts[:-1]] = False
+                to = np.flatnonzero(inner)
+                each = (path[starts[:-1]], path[to - 1] * k + path[to], path * len(SEEN) + codes)
+                sums += np.concatenate([np.bincount(x, minlength=j - i) for x, i, j in zip(each, CUTS, CUTS[1:])])
+            what = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(sums[what])], ["what", "n"])
+
+        counts = np.zeros(CUTS[-1])
+        for r in seen.select("codes").mapInArrow(count, "what int, n bigint").groupBy("what").agg(F.sum("n").alias("n")).collect():
+            counts[r["what"]] = r["n"]
+        model = Model(counts)
     return model
 
 
@@ -210,21 +259,19 @@ def label_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
     Null, empty and wordless texts have no words and are not flagged; exactly half is not flagged either. Repeated
     rows come out as often as they come in; extra columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, key, text, rounds))
+    seen = stored(observed(docs, key, text), "segments")
+    held = seen.sparkSession.sparkContext.broadcast(train(seen, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m, k = held.value, len(STATES)
+        kinds = np.array([*STATES, None], object)
         for batch in batches:
-            rows = []
-            for t in batch.column("text").to_pylist():
-                by = [0] * len(STATES)
-                for s, n, _ in m.label(t):
-                    by[s] += n
-                total = sum(by)
-                rows.append((total, total - by[0], STATES[int(np.argmax(by))] if total else None, 2 * (total - by[0]) > total))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "words", "nonprose", "kind", "flagged"])
-
-    # Batches stay in Arrow, as pandas would make floats of ids beside a null one.
-    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.make_valid_utf8(text).alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, words bigint, nonprose bigint, kind string, flagged boolean")
+            codes, starts = flat(batch.column("codes"))
+            path = m.viterbi(codes, np.unique(starts))
+            doc = np.repeat(np.arange(len(batch)), np.diff(starts))
+            by = np.bincount(doc * k + path, flat(batch.column("words"))[0], len(batch) * k).astype(np.int64).reshape(-1, k)
+            total = by.sum(1)
+            kind = pa.array(kinds[np.where(total > 0, by.argmax(1), k)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total), pa.array(total - by[:, 0]), kind, pa.array(2 * (total - by[:, 0]) > total)], ["doc_id", "words", "nonprose", "kind", "flagged"])
+
+    return seen.mapInArrow(run, "doc_id bigint, words bigint, nonprose bigint, kind string, flagged boolean")

@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,32 @@ def test_nonprose(spark):
     assert nonprose.label_pages(docs.limit(0)).count() == 0
 
 
+def test_nonprose_trains_on_all_documents(spark):
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "if(id % 41 = 0, '#Audit #Proposal #Sample', 'We heard that they came.') AS text")
+    model, tags = nonprose.train(nonprose.observed(docs)), nonprose.STATES.index("tags")
+    assert nonprose.Model().label("#Audit #Proposal #Sample")[0][0] == tags
+    # The definition's weight grows with the corpus beyond 20,000 documents.
+    assert np.exp(model.begin[tags]) == pytest.approx((0.1 * 2_050 + 500) / (2_050 + 20_500), rel=1e-9)
+
+
+def test_nonprose_counts(spark):
+    texts = [*PAGES, *PAGES, "", None, "word. " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    begun, moved, seen = (np.zeros(x) for x in nonprose.SHAPES)
+    first = nonprose.Model()
+    for path in filter(None, map(first.label, texts)):
+        begun[path[0][0]] += 1
+        for (a, _, _), (b, _, _) in zip(path, path[1:]):
+            moved[a, b] += 1
+        for k, _, x in path:
+            seen[k, nonprose.CODES[x]] += 1
+    want, got = nonprose.Model(np.concatenate([begun, moved.ravel(), seen.ravel()])), nonprose.train(nonprose.observed(docs))
+    assert all(np.array_equal(getattr(want, x), getattr(got, x)) for x in ("begin", "move_to", "emit")) and not np.array_equal(first.emit, got.emit)
+    # Many documents at once are labelled as each alone.
+    labels = {r["doc_id"]: (r["words"], r["nonprose"]) for r in nonprose.label_pages(docs).collect()}
+    assert labels == {i: (sum(n for _, n, _ in path), sum(n for k, n, _ in path if k)) for i, path in enumerate(map(got.label, texts))}
+
+
 def test_nonprose_tasks_without_words(spark):
     few = spark.createDataFrame([(1, PROSE), (2, ""), (3, None)], "doc_id bigint, text string").repartition(8)
     assert sorted((r["doc_id"], r["flagged"]) for r in nonprose.label_pages(few).collect()) == [(1, False), (2, False), (3, False)]
